@@ -188,30 +188,32 @@ def with_position(
     return out.withColumn(name, F.col(name) + F.lit(start - 1)) if start != 1 else out
 
 
-def value_at_rank(
+def values_at_ranks(
     df: DataFrame,
     by: str | Sequence[str],
     value: str,
-    rank: Column,
+    ranks: dict[str, Column],
     band: Column,
-    name: str,
 ) -> DataFrame:
-    """Exact order statistic per group: the value at 0-based ``rank``.
+    """Exact order statistics per group: the values at 0-based ``ranks``.
 
-    ``rank`` is an expression over ``n`` (rows in the group).  Equal values are
-    counted before the shuffle; ``band`` is a non-decreasing integer function of
-    the value and plays the part of the chunk.
+    A rank is an expression over ``n`` (rows in the group), which is returned
+    too.  Equal values are counted before the shuffle; ``band`` is a
+    non-decreasing integer function of the value and plays the part of the chunk.
     """
     by = as_list(by)
     counts = settle(
         df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n")), 1
     )
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
-    placed = scan(counts, by, [value], band, __upto=running_sum(F.col("__n")))
-    picked = placed.join(sizes, by).filter(
-        (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__n"))
+    placed = scan(counts, by, [value], band, __upto=running_sum(F.col("__n"))).join(sizes, by)
+    first = F.col("__upto") - F.col("__n")
+    return placed.groupBy(*by, "n").agg(
+        *[
+            F.max(F.when((rank < F.col("__upto")) & (rank >= first), F.col(value))).alias(name)
+            for name, rank in ranks.items()
+        ]
     )
-    return picked.select(*by, F.col(value).alias(name), "n")
 
 
 def exact_percentile(
@@ -220,9 +222,10 @@ def exact_percentile(
     """Linearly interpolated percentile (0-100) per group, exact at any size."""
     by = as_list(by)
     place = F.lit(p / 100.0) * (F.col("n") - 1)
-    low = value_at_rank(df, by, value, F.floor(place), band, "__low")
-    high = value_at_rank(df, by, value, F.ceil(place), band, "__high").drop("n")
+    ends = values_at_ranks(
+        df, by, value, {"__low": F.floor(place), "__high": F.ceil(place)}, band
+    )
     part = place - F.floor(place)
-    return low.join(high, by).select(
+    return ends.select(
         *by, (F.col("__low") + (F.col("__high") - F.col("__low")) * part).alias(name), "n"
     )
