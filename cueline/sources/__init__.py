@@ -1 +1 @@
-"""sources"""
+"""Readers and writers: captions, plans, JSON, run logs."""

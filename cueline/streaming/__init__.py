@@ -1 +1 @@
-"""streaming"""
+"""Streaming views of the run log."""
