@@ -70,7 +70,7 @@ def parse_plan(lines: DataFrame, by: str | Sequence[str] = "session_id") -> Data
     block_id = F.regexp_extract(c, ROW, 2)
     body = F.regexp_extract(c, ROW, 4)
     # what follows the last arrow is a remark, a bracketed name in front the speaker
-    body = F.when(F.contains(body, F.lit(" ← ")), F.substring_index(body, " ← ", F.size(F.split(body, " ← ")) - 1)).otherwise(body)
+    body = F.regexp_replace(body, r"(?s)^(.*) ← .*$", "$1")
     raw = tx.strip(F.regexp_replace(body, tx.pattern(r"^\[[^\]]{1,20}\]\s*"), ""))
     k = F.col("kind")
     params = (
