@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline.fixtures import with_views
+from cueline.session import cut_lineage
 from cueline.sources import captions as ca
 from cueline.sources import planfiles as pf
 
@@ -212,7 +213,8 @@ def write_plan(spark, sf):
       CASE kind WHEN 'config' THEN 'clip-gap=0.5 max-pause=0.9' WHEN 'music' THEN 'fadein=1.5 lead=2' WHEN 'insert' THEN 'gain=auto tempo=1.06' END AS params FROM s WHERE kind <> 'teaser'""",
 )
 def read_plan(spark, sf):
-    rows = pf.parse_plan(plan_lines(spark, sf))
+    # the lines are written once, as a plan file would be
+    rows = pf.parse_plan(cut_lineage(plan_lines(spark, sf)))
     shown = F.array_join(
         F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " "
     )

@@ -296,18 +296,16 @@ def terms(text: Column) -> Column:
 #: A run of code, or an image or link with its address: never changed.
 PROTECTED = r"`[^`]*`|!?\[[^\]]*\]\([^)]*\)"
 _HOLE = "\u0001"
-_CONVERT = [
-    # (what to replace, with what); order matters: dots in a row come first
-    (r"\.{2,}", k.ELLIPSIS),
-    (r"(?<![A-Za-z0-9])\.(?!\.)|\.(?![A-Za-z0-9.])", "。"),
-    (r"(?<!\p{Nd}),|,(?!\p{Nd})", "，"),
-    (r"(?<!\p{Nd}):(?!/)|:(?![\p{Nd}/])", "："),
-    (r";", "；"),
-    (r"!", "！"),
-    (r"\?", "？"),
-    (r"\(", "（"),
-    (r"\)", "）"),
+#: Single marks whose surroundings decide; rows of dots are taken out before.
+#: The mark comes first in each pattern, so most positions fail at once.
+_BY_CONTEXT = [
+    (r"\.(?:(?<![A-Za-z0-9]\.)|(?![A-Za-z0-9]))", "。"),
+    (r",(?:(?<!\p{Nd},)|(?!\p{Nd}))", "，"),
+    (r":(?!/)(?:(?<!\p{Nd}:)|(?!\p{Nd}))", "："),
 ]
+_ALWAYS = (";!?()", "；！？（）")
+_HALF_MARKS = "[,.?!:;()]"
+_DOTS = "\u0002"
 
 
 def normalize_width_line(line: Column) -> Column:
@@ -318,11 +316,16 @@ def normalize_width_line(line: Column) -> Column:
     """
     kept = F.regexp_extract_all(line, F.lit(PROTECTED), 0)
     open_text = F.regexp_replace(line, PROTECTED, _HOLE)
-    changed = open_text
-    changes = F.lit(0)
-    for body, mark in _CONVERT:
-        changes = changes + F.regexp_count(changed, F.lit(body))
+    single = F.regexp_replace(open_text, r"\.{2,}", _DOTS)
+    changed = F.translate(single, *_ALWAYS)
+    for body, mark in _BY_CONTEXT:
         changed = F.regexp_replace(changed, body, mark)
+    changes = (
+        count_class(single, _DOTS)
+        + count_class(single, _HALF_MARKS)
+        - count_class(changed, _HALF_MARKS)
+    )
+    changed = F.replace(changed, F.lit(_DOTS), F.lit(k.ELLIPSIS))
     parts = F.split(changed, _HOLE, -1)
     filled = F.array_join(
         F.zip_with(parts, kept, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""

@@ -220,7 +220,7 @@ def _page_runs(figures: DataFrame, by: list[str], max_gap: int) -> DataFrame:
     near every other copy, so its whole figure is one run.
     """
     figure = [*by, "hash", "sig"]
-    rows = figures.withColumn("sig", F.xxhash64(F.array_sort("terms")))
+    rows = settle(figures.withColumn("sig", F.xxhash64(F.array_sort("terms"))), 1)
     wild = rows.groupBy(*figure).agg(F.bool_or(F.col("deck_page").isNull()).alias("wild"))
     joined = rows.join(wild, figure)
     order = ["page", "file"]

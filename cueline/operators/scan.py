@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cueline.session import settle
 
 #: Width of a time chunk in milliseconds.
-CHUNK_MS = 60_000
+CHUNK_MS = 600_000
 #: Rows per chunk where the order key is a dense row number.
 CHUNK_ROWS = 4096
 

@@ -210,18 +210,18 @@ def label_words(
     """
     by, key = as_list(by), list(key)
     order = ["start_ms", *key]
-    best = _best_overlap(words, turns, by, key, bin_ms).drop("overlap_ms")
-    matched = words.join(best, [*by, *key], "left")
-    placed = settle(
-        with_position(matched, by, order, time_chunk("start_ms", chunk_ms), "__n")
+    best = settle(_best_overlap(words, turns, by, key, bin_ms).drop("overlap_ms"), 1)
+    opening = words.groupBy(*by).agg(
+        F.min_by(F.struct(*key, "start_ms", "end_ms"), F.struct(*order)).alias("w")
     )
-    first = placed.filter((F.col("__n") == 1) & F.col("matched").isNull())
-    near = nearest_join(first, turns, by, key).select(*by, *key, F.col("speaker").alias("near"))
-    seeded = placed.join(near, [*by, *key], "left").withColumn(
-        "seed",
-        F.when(
-            F.col("__n") == 1, F.coalesce("matched", "near", F.lit(default))
-        ).otherwise(F.col("matched")),
+    first = opening.select(*by, "w.*")
+    lonely = first.join(best, [*by, *key], "left_anti")
+    near = nearest_join(lonely, turns, by, key).select(*by, *key, F.col("speaker").alias("near"))
+    opener = first.select(*by, *key, F.lit(default).alias("__d")).join(near, [*by, *key], "left")
+    seeded = (
+        words.join(best, [*by, *key], "left")
+        .join(opener, [*by, *key], "left")
+        .withColumn("seed", F.coalesce("matched", "near", "__d"))
     )
     filled = scan(
         seeded.select(*words.columns, "seed"),

@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 #: Leaf relations a plan may hold before reading it twice costs more than
 #: writing it once.
-CHEAP_LEAVES = 4
+CHEAP_LEAVES = 2
 
 
 def settle(df: DataFrame, leaves: int = CHEAP_LEAVES) -> DataFrame:
