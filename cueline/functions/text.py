@@ -308,30 +308,39 @@ _HALF_MARKS = "[,.?!:;()]"
 _DOTS = "\u0002"
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def normalize_width_line(line: Column) -> Column:
     """Struct ``(line, changes)``: half-width marks become full-width.
 
     Only lines with wide characters change.  Code, links, decimals, grouped
     digits, clock times and addresses keep their marks.
     """
-    kept = F.regexp_extract_all(line, F.lit(PROTECTED), 0)
+
+    def convert(single: Column) -> Column:
+        changed = F.translate(single, *_ALWAYS)
+        for body, mark in _BY_CONTEXT:
+            changed = F.regexp_replace(changed, body, mark)
+        return changed
+
+    def result(single: Column, changed: Column) -> Column:
+        changes = (
+            count_class(single, _DOTS)
+            + count_class(single, _HALF_MARKS)
+            - count_class(changed, _HALF_MARKS)
+        )
+        kept = F.regexp_extract_all(line, F.lit(PROTECTED), 0)
+        parts = F.split(F.replace(changed, F.lit(_DOTS), F.lit(k.ELLIPSIS)), _HOLE, -1)
+        pieces = F.zip_with(parts, kept, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("line"), changes.alias("changes"))
+
     open_text = F.regexp_replace(line, PROTECTED, _HOLE)
-    single = F.regexp_replace(open_text, r"\.{2,}", _DOTS)
-    changed = F.translate(single, *_ALWAYS)
-    for body, mark in _BY_CONTEXT:
-        changed = F.regexp_replace(changed, body, mark)
-    changes = (
-        count_class(single, _DOTS)
-        + count_class(single, _HALF_MARKS)
-        - count_class(changed, _HALF_MARKS)
-    )
-    changed = F.replace(changed, F.lit(_DOTS), F.lit(k.ELLIPSIS))
-    parts = F.split(changed, _HOLE, -1)
-    filled = F.array_join(
-        F.zip_with(parts, kept, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""
-    )
-    wide = F.regexp_like(line, F.lit(k.WIDE_CONTEXT_CLASS))
-    return F.struct(
-        F.when(wide, filled).otherwise(line).alias("line"),
-        F.when(wide, changes).otherwise(F.lit(0)).alias("changes"),
+    converted = _bind(
+        F.regexp_replace(open_text, r"\.{2,}", _DOTS),
+        lambda single: _bind(convert(single), lambda changed: result(single, changed)),
     )
+    unchanged = F.struct(line.alias("line"), F.lit(0).alias("changes"))
+    return F.when(F.regexp_like(line, F.lit(k.WIDE_CONTEXT_CLASS)), converted).otherwise(unchanged)
