@@ -7,25 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cueline.llm.chat import CHAT_SQL, chat_digest
+from cueline.llm.decontamination import contaminations
 from cueline.llm.exact import EXACT_SQL, exact_groups
 from cueline.llm.mixing import mix_documents
 from cueline.llm.sharding import shard_documents
 from cueline.llm.simhash import simhash_components
+from cueline.llm.toxicity import toxicity
 
 
-def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        return operator(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables))
 
     return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_mixing": _over("documents", mix_documents),
-    "op5_exact_dedup": _over("documents", exact_groups),
-    "op6_chat_format": _over("conversations", chat_digest),
-    "op7_sharding": _over("documents", shard_documents),
-    "op8_simhash": _over("documents", simhash_components),
+    "op1_toxicity": _over(toxicity, "documents", "labels"),
+    "op2_decontamination": _over(contaminations, "documents", "benchmark"),
+    "op3_mixing": _over(mix_documents, "documents"),
+    "op5_exact_dedup": _over(exact_groups, "documents"),
+    "op6_chat_format": _over(chat_digest, "conversations"),
+    "op7_sharding": _over(shard_documents, "documents"),
+    "op8_simhash": _over(simhash_components, "documents"),
 }
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL}
