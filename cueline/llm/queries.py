@@ -12,6 +12,7 @@ from cueline.llm.exact import EXACT_SQL, exact_groups
 from cueline.llm.mixing import mix_documents
 from cueline.llm.sharding import shard_documents
 from cueline.llm.simhash import simhash_components
+from cueline.llm.tokens import document_tokens
 from cueline.llm.toxicity import toxicity
 
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": _over(chat_digest, "conversations"),
     "op7_sharding": _over(shard_documents, "documents"),
     "op8_simhash": _over(simhash_components, "documents"),
+    "op10_token_counts": _over(document_tokens, "documents"),
 }
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL}

@@ -24,9 +24,9 @@ from cueline.llm.common import remainder, utf8
 from cueline.llm.decontamination import plain_words
 
 #: Coordinates, documents learned from, rounds over them, and the score that predicts toxicity.
-DIM_BITS, TRAIN_DOCS, ROUNDS, LIMIT = 20, 12_000, 6, 0.7
+DIM_BITS, TRAIN_DOCS, ROUNDS, LIMIT = 20, 20_000, 6, 0.7
 #: FTRL-proximal's rates and penalties.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
 #: Multipliers that keep the kinds of features apart.
 KINDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
