@@ -10,6 +10,7 @@ from cueline.llm.chat import CHAT_SQL, chat_digest
 from cueline.llm.decontamination import contaminations
 from cueline.llm.exact import EXACT_SQL, exact_groups
 from cueline.llm.mixing import mix_documents
+from cueline.llm.repeats import repeated_passages
 from cueline.llm.sharding import shard_documents
 from cueline.llm.simhash import simhash_components
 from cueline.llm.tokens import document_tokens
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _over(toxicity, "documents", "labels"),
     "op2_decontamination": _over(contaminations, "documents", "benchmark"),
     "op3_mixing": _over(mix_documents, "documents"),
+    "op4_repeated_passages": _over(repeated_passages, "documents"),
     "op5_exact_dedup": _over(exact_groups, "documents"),
     "op6_chat_format": _over(chat_digest, "conversations"),
     "op7_sharding": _over(shard_documents, "documents"),

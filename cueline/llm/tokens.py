@@ -29,7 +29,7 @@ from cueline.session import shared_folder
 #: Where the vocabulary lies, its separator, and the bytes of an identifier.
 VOCABULARY, SEPARATOR, WIDTH = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2
 #: Fixed value: the pattern that cuts a text before byte-pair merging, as published with the vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Identifiers in a block.
 BLOCK_TOKENS = 1 << 20
 
