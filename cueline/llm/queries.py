@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cueline.llm.chat import CHAT_SQL, chat_digest
 from cueline.llm.decontamination import contaminations
 from cueline.llm.exact import EXACT_SQL, exact_groups
+from cueline.llm.katz import katz_scores
 from cueline.llm.mixing import mix_documents
 from cueline.llm.repeats import repeated_passages
 from cueline.llm.sharding import shard_documents
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": _over(chat_digest, "conversations"),
     "op7_sharding": _over(shard_documents, "documents"),
     "op8_simhash": _over(simhash_components, "documents"),
+    "op9_katz_scores": _over(katz_scores, "documents"),
     "op10_token_counts": _over(document_tokens, "documents"),
 }
 
