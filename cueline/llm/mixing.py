@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.common import dealt_rank, free_names, null_safe_join, stored, words
+from cueline.llm.common import dealt_rank, null_safe_join, stored, words
 
 #: Weights of the sources in order, repeating, and the most a source may be repeated.
 WEIGHTS = (5, 2, 1)
@@ -97,15 +97,13 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return filled.withColumn("target", F.coalesce(F.least(final * F.col("weight"), cap), cap)).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """``docs`` with size, source_size, target, and ``times``: how often the mix takes a document.
-
-    The columns named here replace columns of the input with the same names.
-    """
-    names = ("size", "source_size", "target", "times")
-    kept = free_names(docs, *names)
-    sized = kept.withColumn("size", F.size(words(F.col("text"))).cast("bigint"))
-    facts = stored(docs.select("source", F.size(words(F.col("text"))).cast("bigint").alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+def planned(docs: DataFrame, carry: list[str], seed: int = 3) -> DataFrame:
+    """(row, size, source_size, target, times): the columns to carry, and how often the mix takes the document."""
+    size = F.size(words(F.col("text"))).cast("bigint")
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    )
+    facts = stored(docs.select("source", size.alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = facts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sources)
 
@@ -117,25 +115,22 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
     plans = null_safe_join(facts, targets, ["source"]).groupBy("source").applyInPandas(
         plan, "source string, size bigint, n bigint, source_size bigint, target double, passes bigint, extra bigint"
     )
-    plans = stored(plans)
-    met = null_safe_join(sized, plans, ["source", "size"])
+    met = null_safe_join(sized, stored(plans), ["source", "size"])
+    # only lengths of which some are taken need an order
     some = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
-    order = [F.xxhash64(F.lit(seed), "doc_id", "text"), F.col("doc_id")]
-    ranked = dealt_rank(met.where(some), ["source", "size"], "n", order, "__rank")
-    chosen = ranked.withColumn("times", F.col("passes") + (F.col("__rank") < F.col("extra")).cast("bigint"))
+    ranked = dealt_rank(met.where(some), ["source", "size"], "n", [F.col("order")], "rank")
+    chosen = ranked.withColumn("times", F.col("passes") + (F.col("rank") < F.col("extra")).cast("bigint"))
     rest = met.where(~some).withColumn("times", F.col("passes") + (F.col("extra") > 0).cast("bigint"))
-    columns = [F.col(f"`{c}`") for c in kept.columns] + [F.col(c) for c in names]
+    columns = ["row", "size", "source_size", "target", "times"]
     return chosen.select(*columns).unionByName(rest.select(*columns))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The digest rows of the mixing query."""
-    facts = docs.select("doc_id", "source", "text")
-    return mix(facts).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return planned(docs, ["doc_id"]).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    return mix(docs).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest("times", F.lit(1))))).where("times > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    """The documents of the mix with the columns they came with, each as often as it is taken."""
+    taken = planned(docs, docs.columns).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("copy")).select("row.*")

@@ -157,20 +157,37 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     )
 
 
+def rooted(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root): every distinct fingerprint and the one that names its component."""
+    found = components(links(fps, bits))
+    return fps.join(found, fps["fp"] == found["node"], "left").select(fps["fp"], F.coalesce("root", fps["fp"]).alias("root"))
+
+
 def near_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id among the documents reachable by links."""
     marked = stored(fingerprints(docs, shingle))
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(distinct, bits))
-    grouped = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    grouped = stored(grouped)
+    grouped = stored(distinct.join(rooted(distinct.select("fp"), bits), "fp"))
     firsts = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(firsts, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_deduplicated(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, that with the smallest id, with the columns it came with."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = stored(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("uid")))
+    marked = stored(
+        fingerprints(kept.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), shingle).withColumnRenamed("doc_id", "uid")
+    )
+    named = marked.join(kept.select("uid", F.col("row.doc_id").cast("bigint").alias("doc_id")), "uid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")).alias("least")
+    distinct = stored(named.groupBy("fp").agg(least))
+    grouped = distinct.join(rooted(distinct.select("fp"), bits), "fp")
+    stays = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return kept.join(stays, "uid", "left_semi").select("row.*")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """The digest rows of the near-duplicate query."""
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
