@@ -42,13 +42,13 @@ _PACK = "binary"
 
 def packed(values: np.ndarray) -> bytes:
     """Little-endian values byte plane by byte plane: leading zero bytes lie together and compress."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
     return np.ascontiguousarray(raw.T).tobytes()
 
 
 def unpacked(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width)
     return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
 
 
