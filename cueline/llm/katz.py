@@ -31,7 +31,7 @@ from cueline.llm.common import remainder, stored, utf8
 from cueline.session import shared_folder
 
 #: Tokens in a chunk, entries of all chunks in a bucket, and the share of the tokens that makes a history hot.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 2_000_000, 2_000_000, 1000
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 500_000, 1_000_000, 1000
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Hashes of the marks before and behind a document; the start is a history only.
