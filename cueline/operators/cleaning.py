@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,62 +96,42 @@ def hallucination_filter(df: DataFrame, lang: str, text: str = "text") -> DataFr
     return df.filter(~bad)
 
 
-_CANDIDATE = r"(?s)(.)\1{3}|(.{2,6})\2{3}"
+def _repeated_phrase(t: Column, size: int) -> Column:
+    """The first phrase of ``size`` characters, not all blank, said often enough in a row: (gram, n) or null."""
+    again = rf"(?sU)(?=\s{{0,{size - 1}}}\S)(.{{{size}}})\1{{{k.PHRASE_REPEATS - 1},}}"
+    whole = F.regexp_extract(t, again, 0)
+    found = F.struct(F.regexp_extract(t, again, 1).alias("gram"), (F.length(whole) / size).cast("int").alias("n"))
+    return F.when(whole != "", found)
 
 
-def _loop_reason(text: str | None) -> str | None:
-    """Exact rules for one suspicious text (see ``repeat_loop_reason``)."""
-    if text is None:
-        return None
-    words = k.ARTIFACT_TEXT
-    if k.REPLACEMENT_CHAR in text:
-        return words["replacement"]
-    longest = streak = 1
-    for i in range(1, len(text)):
-        streak = streak + 1 if text[i] == text[i - 1] else 1
-        longest = max(longest, streak)
-    if longest >= k.RUN_MIN:
-        return words["run"].format(n=longest)
-    kinds = len(set(text))
-    if len(text) >= k.FEW_CHARS_LEN and kinds <= k.FEW_CHARS_MAX:
-        return words["few"].format(k=kinds, n=len(text))
-    for size in k.PHRASE_LENGTHS:
-        at = 0
-        while at + size * k.PHRASE_REPEATS <= len(text):
-            gram = text[at : at + size]
-            stop = at + size
-            if gram.strip():
-                while text.startswith(gram, stop):
-                    stop += size
-                times = (stop - at) // size
-                if times >= k.PHRASE_REPEATS:
-                    return words["phrase"].format(gram=gram, n=times)
-                # a shorter repeat is skipped whole, as alignments inside it are
-                at = stop if times > 1 else at + 1
-            else:
-                at += 1
-    return None
-
-
-def _loop_reasons(texts: pd.Series) -> pd.Series:
-    return texts.map(_loop_reason, na_action="ignore")
+def _filled(template: str, **values: Column) -> Column:
+    """A message with its ``{name}`` marks replaced by columns."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
 
 
 def repeat_loop_reason(text: Column) -> Column:
     """Why a text looks like a recogniser loop, or null.
 
-    A back-reference test on the JVM side lets only suspicious texts reach the
-    exact scan in Python.
+    Back-references do the matching: the longest run of one character, else very few different characters, else
+    the shortest phrase that is repeated, each at its leftmost place.
     """
     t = tx.strip(text)
-    few = (F.length(t) >= k.FEW_CHARS_LEN) & (
-        F.size(F.array_distinct(F.split(t, ""))) <= k.FEW_CHARS_MAX
+    runs = F.transform(
+        F.regexp_extract_all(t, F.lit(rf"(?s)(.)\1{{{k.RUN_MIN - 1},}}"), F.lit(0)), lambda r: F.length(r)
     )
-    suspicious = (
-        F.contains(t, F.lit(k.REPLACEMENT_CHAR)) | F.regexp_like(t, F.lit(_CANDIDATE)) | few
+    kinds = F.size(F.array_distinct(F.split(t, "")))
+    few = (F.length(t) >= k.FEW_CHARS_LEN) & (kinds <= k.FEW_CHARS_MAX)
+    phrase = F.coalesce(*[_repeated_phrase(t, size) for size in k.PHRASE_LENGTHS])
+    words = k.ARTIFACT_TEXT
+    return (
+        F.when(F.contains(t, F.lit(k.REPLACEMENT_CHAR)), F.lit(words["replacement"]))
+        .when(F.size(runs) > 0, _filled(words["run"], n=F.array_max(runs)))
+        .when(few, _filled(words["few"], k=kinds, n=F.length(t)))
+        .when(phrase.isNotNull(), _filled(words["phrase"], n=phrase["n"], gram=phrase["gram"]))
     )
-    exact = F.pandas_udf(_loop_reasons, "string")
-    return exact(F.when(suspicious, t))
 
 
 def flag_artifacts(df: DataFrame, text: str = "text", overwrite: bool = True) -> DataFrame:
@@ -376,30 +355,29 @@ def validate_notes(df: DataFrame, required: Sequence[str] = tuple(k.NOTE_FIELDS)
 def track_prefix(tracks: DataFrame, by: str | Sequence[str] = "session_id") -> DataFrame:
     """Two-letter code per track name, numbered fallback on collision.
 
-    ``tracks`` has ``track_no`` and ``track``: a handful of names per session
-    after ``distinct``, folded in order.
+    ``tracks`` has ``track_no`` and ``track``: a handful of names per session after ``distinct``.  The codes given so
+    far are the state of a fold over them.
     """
     by = as_list(by)
-
-    def codes(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        found = []
-        pdf = pdf.sort_values("track_no")
-        for place, name in enumerate(pdf["track"], start=1):
-            letters = [c for c in name.upper() if c.isascii() and c.isalpha()]
-            code = ""
-            if len(letters) > 1:
-                consonants = [c for c in letters[1:] if c not in "AEIOU"]
-                code = letters[0] + (consonants or letters[1:])[0]
-            if not code or code in taken:
-                code, extra = f"T{place}", 0
-                while code in taken:
-                    extra += 1
-                    code = f"T{place}{extra}"
-            taken.add(code)
-            found.append(code)
-        return pdf.assign(prefix=found)[[*by, "track", "prefix"]]
-
     names = tracks.groupBy(*by, "track").agg(F.min("track_no").alias("track_no"))
-    fields = ", ".join(f"{c} {dict(tracks.dtypes)[c]}" for c in by)
-    return names.groupBy(*by).applyInPandas(codes, f"{fields}, track string, prefix string")
+    listed = names.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("track_no", "track"))).alias("ts"))
+
+    def initials(name: Column) -> Column:
+        letters = F.regexp_replace(F.upper(name), "[^A-Z]", "")
+        rest = F.substring(letters, 2, 2**31 - 1)
+        second = F.left(F.concat(F.regexp_replace(rest, "[AEIOU]", ""), rest), F.lit(1))
+        return F.when(F.length(rest) > 0, F.concat(F.left(letters, F.lit(1)), second))
+
+    def given(codes: Column, track: Column) -> Column:
+        place = F.size(codes) + 1
+        numbered = F.transform(
+            F.sequence(F.lit(0), place),
+            lambda n: F.concat(F.lit("T"), place.cast("string"), F.when(n > 0, n.cast("string")).otherwise("")),
+        )
+        free = F.filter(F.concat(F.array(initials(track["track"])), numbered), lambda c: c.isNotNull() & ~F.array_contains(codes, c))
+        return F.concat(codes, F.array(F.get(free, F.lit(0))))
+
+    codes = F.aggregate("ts", F.array().cast("array<string>"), given)
+    return listed.select(*by, F.explode(F.arrays_zip("ts", codes.alias("code"))).alias("x")).select(
+        *by, F.col("x.ts.track").alias("track"), F.col("x.code").alias("prefix")
+    )
