@@ -111,32 +111,67 @@ def changed_flips(spark, sf):
 @query(
     "validate_plan",
     "blocks cues",
-    f"""WITH {VERSIONS}, bl AS (SELECT session_id, block_id, CASE WHEN idx % 11 = 10 THEN 'X' || text ELSE text END AS text FROM blocks WHERE idx % 13 <> 12),
-    pr AS (SELECT session_id, block_id, keep, CASE WHEN idx % 6 = 5 THEN substr(raw, 2) WHEN idx % 11 = 10 THEN 'X' || text ELSE text END AS raw FROM newv),
-    tr AS (SELECT session_id, string_agg(regexp_replace(text, '\\s+', '', 'g'), '' ORDER BY idx) AS flat FROM cues GROUP BY session_id)
-    SELECT session_id, block_id, 'missing' AS problem FROM bl ANTI JOIN pr USING (session_id, block_id)
-    UNION ALL SELECT session_id, block_id, 'extra' FROM pr ANTI JOIN bl USING (session_id, block_id)
-    UNION ALL SELECT pr.session_id, pr.block_id, 'altered' FROM pr JOIN bl USING (session_id, block_id)
-      WHERE regexp_replace(replace(pr.raw, '~~', ''), '\\s+', '', 'g') <> regexp_replace(bl.text, '\\s+', '', 'g')
-    UNION ALL SELECT pr.session_id, pr.block_id, 'not_in_transcript' FROM pr JOIN bl USING (session_id, block_id) JOIN tr ON tr.session_id = pr.session_id
-      WHERE pr.keep AND regexp_replace(bl.text, '\\s+', '', 'g') <> '' AND NOT contains(tr.flat, regexp_replace(bl.text, '\\s+', '', 'g'))""",
+    f"""WITH {VERSIONS}, bl AS (SELECT session_id, block_id, CASE WHEN idx % 11 = 10 THEN 'X' || text ELSE text END AS text, CASE WHEN idx % 22 = 10 THEN 'voicing' ELSE 'speech' END AS kind FROM blocks WHERE idx % 13 <> 12),
+    ga AS (SELECT session_id, printf('G%04d', idx) AS block_id FROM blocks WHERE idx % 4 = 0), ins AS (SELECT session_id, printf('S%04d', idx) AS block_id, text FROM blocks WHERE idx % 5 = 0),
+    tr AS (SELECT session_id, string_agg(regexp_replace(text, '\\s+', '', 'g'), '' ORDER BY idx) AS flat FROM cues GROUP BY session_id),
+    lg AS (SELECT session_id, 'L0001' AS block_id, substr(flat, 3) AS text FROM tr UNION ALL SELECT session_id, 'L0002', substr(flat, 3) || 'X' FROM tr),
+    ab AS (SELECT session_id, block_id, text, kind FROM bl UNION ALL SELECT *, 'speech' FROM lg),
+    pr AS (SELECT session_id, block_id, keep, CASE WHEN idx % 6 = 5 THEN substr(raw, 2) WHEN idx % 11 = 10 THEN 'X' || text ELSE text END AS raw FROM newv
+      UNION ALL SELECT session_id, block_id, TRUE, text FROM lg
+      UNION ALL SELECT session_id, printf('G%04d', idx), TRUE, 'silence' FROM blocks WHERE idx % 2 = 0
+      UNION ALL SELECT session_id, printf('S%04d', idx), TRUE, CASE WHEN idx % 3 = 1 THEN 'other' ELSE text END FROM blocks WHERE idx % 5 <> 1)
+    SELECT session_id, block_id, 'missing' AS problem FROM ab ANTI JOIN pr USING (session_id, block_id)
+    UNION ALL SELECT session_id, block_id, 'extra' FROM pr ANTI JOIN ab USING (session_id, block_id) ANTI JOIN ga USING (session_id, block_id) ANTI JOIN ins USING (session_id, block_id)
+    UNION ALL SELECT pr.session_id, pr.block_id, 'altered' FROM pr JOIN (SELECT session_id, block_id, text FROM ab UNION ALL FROM ins) x USING (session_id, block_id)
+      WHERE regexp_replace(replace(pr.raw, '~~', ''), '\\s+', '', 'g') <> regexp_replace(x.text, '\\s+', '', 'g')
+    UNION ALL SELECT pr.session_id, pr.block_id, 'not_in_transcript' FROM pr JOIN ab USING (session_id, block_id) JOIN tr ON tr.session_id = pr.session_id
+      WHERE pr.keep AND kind = 'speech' AND regexp_replace(ab.text, '\\s+', '', 'g') <> '' AND NOT contains(tr.flat, regexp_replace(ab.text, '\\s+', '', 'g'))""",
 )
 def validate_plan(spark, sf):
-    blocks = fx.blocks(spark, sf).filter("idx % 13 <> 12").select(
+    """Blocks of a cue and of a whole session, rows of gaps and inserts, and voices that are not speech."""
+    cues, rows = fx.cues(spark, sf), fx.blocks(spark, sf)
+    idx = F.col("idx")
+    blocks = rows.filter("idx % 13 <> 12").select(
         "session_id",
         "block_id",
-        F.when(F.col("idx") % 11 == 10, F.concat(F.lit("X"), "text")).otherwise(F.col("text")).alias("text"),
+        F.when(idx % 11 == 10, F.concat(F.lit("X"), "text")).otherwise(F.col("text")).alias("text"),
+        F.when(idx % 22 == 10, "voicing").otherwise("speech").alias("kind"),
     )
-    program = version(spark, sf, "new")["blocks"].select(
-        "session_id",
-        "block_id",
-        "keep",
-        F.when(F.col("idx") % 6 == 5, F.substring("raw", 2, 2**31 - 1))
-        .when(F.col("idx") % 11 == 10, F.concat(F.lit("X"), "text"))
-        .otherwise(F.col("text"))
-        .alias("raw"),
+    said = F.array_sort(F.collect_list(F.struct("idx", F.regexp_replace("text", r"\s+", "").alias("t"))))
+    whole = F.substring(F.array_join(F.transform(said, lambda x: x["t"]), ""), 3, 2**31 - 1)
+    sessions = cues.groupBy("session_id").agg(whole.alias("text"))
+    long = sessions.select("session_id", F.lit("L0001").alias("block_id"), "text").unionByName(
+        sessions.select("session_id", F.lit("L0002").alias("block_id"), F.concat("text", F.lit("X")).alias("text"))
+    )
+    gap_id, insert_id = F.format_string("G%04d", idx), F.format_string("S%04d", idx)
+    program = (
+        version(spark, sf, "new")["blocks"]
+        .select(
+            "session_id",
+            "block_id",
+            "keep",
+            F.when(idx % 6 == 5, F.substring("raw", 2, 2**31 - 1))
+            .when(idx % 11 == 10, F.concat(F.lit("X"), "text"))
+            .otherwise(F.col("text"))
+            .alias("raw"),
+        )
+        .unionByName(long.select("session_id", "block_id", F.lit(True).alias("keep"), F.col("text").alias("raw")))
+        .unionByName(
+            rows.filter("idx % 2 = 0").select("session_id", gap_id.alias("block_id"), F.lit(True).alias("keep"), F.lit("silence").alias("raw"))
+        )
+        .unionByName(
+            rows.filter("idx % 5 <> 1").select(
+                "session_id", insert_id.alias("block_id"), F.lit(True).alias("keep"), F.when(idx % 3 == 1, "other").otherwise(F.col("text")).alias("raw")
+            )
+        )
+    )
+    return ed.validate_plan(
+        blocks.unionByName(long.withColumn("kind", F.lit("speech"))),
+        program,
+        cues,
+        gaps=rows.filter("idx % 4 = 0").select("session_id", gap_id.alias("block_id")),
+        inserts=rows.filter("idx % 5 = 0").select("session_id", insert_id.alias("block_id"), "text"),
     )
-    return ed.validate_plan(blocks, program, fx.cues(spark, sf))
 
 
 @query(

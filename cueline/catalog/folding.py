@@ -160,15 +160,17 @@ def split_phrases_simple(spark, sf):
     return fo.split_phrases(_cue_words(spark, sf), fx.cues(spark, sf)).drop("text")
 
 
-@query("join_words", "cues", "SELECT session_id, idx, text FROM cues WHERE NOT contains(text, '  ') AND text NOT LIKE '% ' AND text NOT LIKE ' %' AND regexp_full_match(text, '([A-Za-z0-9]+ )*[A-Za-z0-9]+[^A-Za-z0-9]*')")
+@query(
+    "join_words",
+    "cues",
+    """WITH w AS (SELECT session_id, idx, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM cues),
+    p AS (SELECT *, lag(w) OVER (PARTITION BY session_id, idx ORDER BY i) AS p FROM w)
+    SELECT session_id, idx, string_agg(CASE WHEN regexp_matches(p, '[A-Za-z0-9]$') AND regexp_matches(w, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || w, '' ORDER BY i) AS text
+    FROM p GROUP BY session_id, idx""",
+)
 def join_words(spark, sf):
-    """Texts of plain words are rebuilt from their words."""
-    cues = fx.cues(spark, sf).filter(
-        F.regexp_like("text", F.lit("^(?s)([A-Za-z0-9]+ )*[A-Za-z0-9]+[^A-Za-z0-9]*$"))
-        & ~F.contains("text", F.lit("  "))
-        & ~F.col("text").like("% ")
-    )
-    return cues.select(
+    """Every text is put together again from its words; a space stays between two plain edges."""
+    return fx.cues(spark, sf).select(
         "session_id", "idx", sp.joined_text(F.split("text", " "), F.col("text")).alias("text")
     )
 
@@ -179,7 +181,7 @@ def resegment(spark, sf):
 
 
 def _phrases(spark, sf):
-    return fx.cues(spark, sf).filter("session_id < 100").select(
+    return fx.cues(spark, sf).select(
         "session_id",
         F.col("idx").alias("phrase_id"),
         (F.floor(F.col("idx") * 150)).cast("bigint").alias("start_ms"),

@@ -78,10 +78,13 @@ def containment_match(spark, sf):
     "cues",
     f"""WITH {SCORES} SELECT session_id, fig_id, arg_max(line_no, (score, -line_no)) AS line_no, round(max(score), 9) AS score,
         CASE WHEN max(score) >= 0.09 THEN 'healthy' WHEN max(score) >= 0.02 THEN 'warning' ELSE 'fail' END AS verdict
-        FROM sc GROUP BY session_id, fig_id""",
+        FROM sc GROUP BY session_id, fig_id
+        UNION ALL SELECT session_id, idx, NULL, 0.0, 'fail' FROM mixed WHERE idx % 3 = 0 AND NOT EXISTS (SELECT 1 FROM sc WHERE sc.session_id = mixed.session_id AND sc.fig_id = mixed.idx)""",
 )
 def best_lines(spark, sf):
-    return fg.best_lines(_scored(spark, sf), "session_id").withColumn("score", F.round("score", 9))
+    """Every figure, those that share a term with no line as well."""
+    figures = mixed_cues(spark, sf).filter("idx % 3 = 0").select("session_id", F.col("idx").alias("fig_id"))
+    return fg.best_lines(_scored(spark, sf), figures, "session_id").withColumn("score", F.round("score", 9))
 
 
 # --- fingerprints ---------------------------------------------------------------------

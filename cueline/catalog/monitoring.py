@@ -136,7 +136,7 @@ def close_tickets(spark, sf):
     """SELECT session_id::VARCHAR AS session, stage, status, event_id::DOUBLE AS event FROM runs WHERE event_id % 10 <> 3""",
 )
 def read_run_log(spark, sf):
-    """Runs written as JSON lines and read back; every tenth line is damaged."""
+    """Runs written as JSON lines and read back; every tenth line is cut, each somewhere else."""
     record = F.to_json(
         F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
@@ -148,7 +148,7 @@ def read_run_log(spark, sf):
             "detail",
         )
     )
-    line = F.when(F.col("event_id") % 10 == 3, F.substring(record, 1, 20)).otherwise(record)
+    line = F.when(F.col("event_id") % 10 == 3, F.substr(record, F.lit(1), (F.col("event_id") % 97 + 1).cast("int"))).otherwise(record)
     back = ru.parse_run_log(log(spark, sf).select(line.alias("value")))
     return back.select("session", "stage", "status", F.element_at("metrics", "event").alias("event"))
 

@@ -17,17 +17,9 @@ LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 IDEOGRAPHS = "的一是不了人我在有他這為之大來以個中上們到說國和地也"
 
 
-#: Tables of long texts, on which a single task would have all the work.
-TEXT_TABLES = ("conversations", "documents", "pages")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One sample table; texts that come in too few splits are dealt out to all cores."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and 2 * df.rdd.getNumPartitions() <= cores:
-        return df.repartition(cores)
-    return df
+    """One sample table, read as it lies."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:

@@ -99,19 +99,18 @@ def containment_match(
     return shared.select(*by, "fig_id", "line_no", "shared", score.alias("score"))
 
 
-def best_lines(scored: DataFrame, by: str | Sequence[str] = "doc_id") -> DataFrame:
-    """The best line of each figure; ties go to the earlier line."""
+def best_lines(scored: DataFrame, figures: DataFrame, by: str | Sequence[str] = "doc_id") -> DataFrame:
+    """The best line of each figure; ties go to the earlier line.
+
+    A figure that shares no term with any line has score 0, no line and the verdict that goes with it.
+    """
     best = F.max(F.struct("score", (-F.col("line_no")).alias("less")))
+    ident = [*as_list(by), "fig_id"]
+    score = F.coalesce(F.col("b.score"), F.lit(0.0))
     return (
-        scored.groupBy(*as_list(by), "fig_id")
-        .agg(best.alias("b"))
-        .select(
-            *as_list(by),
-            "fig_id",
-            (-F.col("b.less")).alias("line_no"),
-            F.col("b.score").alias("score"),
-            verdict(F.col("b.score")).alias("verdict"),
-        )
+        figures.select(*ident)
+        .join(scored.groupBy(*ident).agg(best.alias("b")), ident, "left")
+        .select(*ident, (-F.col("b.less")).alias("line_no"), score.alias("score"), verdict(score).alias("verdict"))
     )
 
 
@@ -308,13 +307,13 @@ def near_duplicates(
 
 
 def connected_components(
-    edges: DataFrame, by: str | Sequence[str] = "session_id", max_rounds: int = 60
+    edges: DataFrame, by: str | Sequence[str] = "session_id"
 ) -> DataFrame:
     """Smallest member of each component: ``(node, root)``.
 
     Every round takes the smallest label among the neighbours and then follows
     labels to their own labels, so long chains halve.  Each round is written
-    out, which also cuts the lineage.
+    out, which also cuts the lineage.  It ends when no label changes.
     """
     by = as_list(by)
     links = cut_lineage(
@@ -325,7 +324,7 @@ def connected_components(
     labels = cut_lineage(
         links.groupBy(*by, "node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
     )
-    for _ in range(max_rounds):
+    while True:
         seen = links.join(
             labels.select(*by, F.col("node").alias("other"), F.col("root").alias("r")), [*by, "other"]
         )
@@ -343,7 +342,6 @@ def connected_components(
         labels = updated.select(*by, "node", "root")
         if updated.filter("root <> was").isEmpty():
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def duplicate_groups(

@@ -27,12 +27,6 @@ from cueline.session import settle
 
 #: Default bin of the time joins; about the length of a cue.
 BIN_MS = 5_000
-#: Right-side rows in one bin above which the bin is spread over several tasks.
-HEAVY_ROWS = 200_000
-#: Only this many of the fullest bins are spread, which bounds the broadcast.
-HEAVY_BINS = 10_000
-
-
 def _bins(start: Column, end: Column, width: int) -> Column:
     first = F.floor(start / F.lit(width)).cast("bigint")
     last = F.floor(F.greatest(start, end - 1) / F.lit(width)).cast("bigint")
@@ -40,34 +34,31 @@ def _bins(start: Column, end: Column, width: int) -> Column:
 
 
 def spread_heavy(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    heavy_rows: int = HEAVY_ROWS,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], heavy_rows: int
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Salt the fullest join keys: right rows are dealt out, left rows repeated.
+    """Salt the fullest join keys of either side: its rows are dealt out, the other side's repeated.
 
-    Returns both sides with one more key column.  Keys that are not among the
-    fullest get the single salt 0, so no pair is lost or doubled.
+    Returns both sides with two more key columns.  Keys that are not full get the single salts 0, so no pair is
+    lost or doubled.
     """
     keys = list(keys)
-    heavy = F.broadcast(
-        right.groupBy(*keys)
-        .agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > heavy_rows)
-        .orderBy(F.desc("__n"))
-        .limit(HEAVY_BINS)
-        .select(*keys, F.ceil(F.col("__n") / heavy_rows).cast("int").alias("__salts"))
-    )
-    deal = F.pmod(F.xxhash64(*right.columns), F.col("__salts").cast("bigint")).cast("int")
-    salted_right = right.join(heavy, keys, "left").select(
-        *right.columns, F.coalesce(deal, F.lit(0)).alias("__salt")
-    )
-    repeat = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
-    salted_left = left.join(heavy, keys, "left").select(
-        *left.columns, F.explode(repeat).alias("__salt")
+
+    def full(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > heavy_rows)
+        return counted.select(*keys, F.ceil(F.col("__n") / heavy_rows).cast("int").alias(name))
+
+    heavy = full(left, "__nl").join(full(right, "__nr"), keys, "full")
+
+    def salted(side: DataFrame, own: str, other: str, salt: str, copy: str) -> DataFrame:
+        dealt = F.pmod(F.xxhash64(*side.columns), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        return side.join(heavy, keys, "left").select(*side.columns, dealt.alias(salt), copies.alias(copy))
+
+    return (
+        salted(left, "__nl", "__nr", "__sl", "__sr"),
+        salted(right, "__nr", "__nl", "__sr", "__sl"),
+        [*keys, "__sl", "__sr"],
     )
-    return salted_left, salted_right, [*keys, "__salt"]
 
 
 def interval_join(
@@ -77,28 +68,31 @@ def interval_join(
     bin_ms: int = BIN_MS,
     left_span: tuple[str, str] = ("start_ms", "end_ms"),
     right_span: tuple[str, str] = ("start_ms", "end_ms"),
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Pairs with ``left.start < right.end`` and ``left.end > right.start``.
 
     Both sides are listed in every bin they touch; a pair is kept only in the
     later of the two first bins, so it appears once without a distinct.  Right
-    columns come back with the prefix ``r_``.
+    columns come back with the prefix ``r_``.  Full bins are split by the adaptive
+    join, on either side; ``heavy_rows`` salts them beforehand, at the price of counting them.
     """
     by = as_list(by)
-    renamed = settle(right).select(*by, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
+    renamed = right.select(*by, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
     ls, le = left_span
     rs, re_ = f"r_{right_span[0]}", f"r_{right_span[1]}"
     lb = left.withColumn("__bin", F.explode(_bins(F.col(ls), F.col(le), bin_ms)))
     rb = renamed.withColumn("__bin", F.explode(_bins(F.col(rs), F.col(re_), bin_ms)))
-    lb, rb, keys = spread_heavy(lb, rb, [*by, "__bin"], heavy_rows)
+    keys = [*by, "__bin"]
+    if heavy_rows is not None:
+        lb, rb, keys = spread_heavy(lb, rb, keys, heavy_rows)
     home = F.floor(F.greatest(F.col(ls), F.col(rs)) / F.lit(bin_ms)).cast("bigint")
     return (
         lb.join(rb, keys)
         .filter(
             (F.col("__bin") == home) & (F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs))
         )
-        .drop("__bin", "__salt")
+        .drop("__bin", "__sl", "__sr")
     )
 
 

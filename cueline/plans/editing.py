@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cueline.functions import constants as k
 from cueline.functions import text as tx
-from cueline.operators.scan import as_list, row_chunk, with_neighbours
-from cueline.session import settle
+from cueline.operators.scan import as_list, row_chunk, running_sum, scan
+from cueline.session import cut_lineage
 
 
 def strike_count(raw: Column) -> Column:
@@ -117,21 +117,61 @@ def changed_blocks(
     )
 
 
-def transcript_windows(
-    cues: DataFrame, by: str | Sequence[str] = "session_id", rows: int = 256
+def transcript_chunks(cues: DataFrame, by: str | Sequence[str] = "session_id", size: int = 4096) -> DataFrame:
+    """The transcript without white space, cut into ``size`` characters: ``(chunk, flat)``."""
+    by = as_list(by)
+    flat = cues.select(*by, "idx", tx.no_space(F.col("text")).alias("t")).filter("t <> ''")
+    placed = scan(flat, by, ["idx"], row_chunk("idx"), at=running_sum(F.length("t").cast("bigint"), inclusive=False))
+    first = F.coalesce("at", F.lit(0))
+    chunks = F.explode(F.sequence(F.floor(first / size), F.floor((first + F.length("t") - 1) / size)))
+    parts = placed.select(*by, "t", first.alias("at"), chunks.alias("chunk"))
+    begin = F.greatest(F.col("at"), F.col("chunk") * size)
+    end = F.least(F.col("at") + F.length("t"), (F.col("chunk") + 1) * size)
+    piece = F.substr("t", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int"))
+    return (
+        parts.groupBy(*by, "chunk")
+        .agg(F.array_sort(F.collect_list(F.struct(begin.alias("p"), piece.alias("t")))).alias("ps"))
+        .select(*by, "chunk", F.array_join(F.transform("ps", lambda x: x["t"]), "").alias("flat"))
+    )
+
+
+def not_in_transcript(
+    texts: DataFrame, cues: DataFrame, by: Sequence[str], ident: Sequence[str], gram: int = 24, size: int = 4096
 ) -> DataFrame:
-    """The transcript without white space, in blocks of ``rows`` cues.
+    """Those of ``texts(flat)`` that stand nowhere in their transcript, whatever their length.
 
-    ``flat`` is a block's own text, ``ahead`` the text of the next block.
+    The opening characters find the places where a text may begin; the text is then compared with the
+    transcript chunk by chunk.
     """
-    by = as_list(by)
-    listed = cues.groupBy(*by, row_chunk("idx", rows).alias("w")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", tx.no_space(F.col("text")).alias("t")))).alias("c")
+    by, ident = list(by), list(ident)
+    wanted = texts.filter("flat <> ''").withColumn("g", F.substring("flat", 1, gram))
+    chunks = cut_lineage(transcript_chunks(cues, by, size))
+    follow = chunks.select(*by, (F.col("chunk") - 1).alias("chunk"), F.substring("flat", 1, gram - 1).alias("next"))
+    reach = F.concat("flat", F.coalesce("next", F.lit("")))
+    sizes = wanted.select(*by, F.length("g").alias("n")).distinct()
+    openings = (
+        chunks.join(follow, [*by, "chunk"], "left")
+        .join(sizes, by)
+        .select(*by, "chunk", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("flat")), lambda i: F.substring(reach, i, F.col("n")))).alias("p", "g"))
+        .select(*by, (F.col("chunk") * size + F.col("p")).alias("at"), "g")
     )
-    flat = listed.select(*by, "w", F.array_join(F.transform("c", lambda x: x["t"]), "").alias("flat"))
-    return with_neighbours(
-        flat, by, ["w"], row_chunk("w", 4096), following={"ahead": "flat"}
-    ).withColumn("ahead", F.coalesce("ahead", F.lit("")))
+    begun = wanted.join(openings, [*by, "g"]).select(*ident, "flat", "at")
+    spans = begun.select(
+        *ident, "at", "flat", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("flat") - 1) / size))).alias("chunk")
+    )
+    begin = F.greatest(F.col("at"), F.col("chunk") * size)
+    end = F.least(F.col("at") + F.length("flat"), (F.col("chunk") + 1) * size)
+    own = F.substr("flat", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int"))
+    there = F.substr("there", (begin - F.col("chunk") * size + 1).cast("int"), (end - begin).cast("int"))
+    found = (
+        spans.join(chunks.withColumnRenamed("flat", "there"), [*by, "chunk"], "left")
+        .groupBy(*ident, "at")
+        .agg(F.bool_and(F.coalesce(own == there, F.lit(False))).alias("same"))
+        .filter("same")
+        .select(*ident)
+        .distinct()
+    )
+    return wanted.join(found, ident, "left_anti").select(*ident)
 
 
 def validate_plan(
@@ -139,62 +179,44 @@ def validate_plan(
     program: DataFrame,
     cues: DataFrame,
     by: str | Sequence[str] = "session_id",
-    gram: int = 6,
-    rows: int = 256,
+    gaps: DataFrame | None = None,
+    inserts: DataFrame | None = None,
 ) -> DataFrame:
     """Problems of an edited plan: ``(block_id, problem)``.
 
-    ``blocks(block_id, text)`` is what was cut, ``program(block_id, keep, raw)``
-    the edited rows.  Ids must match both ways, the text may only gain strike
-    markers, and kept text must occur in the transcript.  The last check looks
-    blocks up by their opening characters in windows of the transcript.
+    ``blocks(block_id, text)``, with ``kind`` where not all is speech, is what was cut, ``program(block_id, keep, raw)``
+    the edited rows.  Every block must be in the program, and every row of the program a block, a gap
+    of ``gaps(block_id)`` or a block of ``inserts(block_id, text)``, whose ids begin with S and digits.  Text may
+    only gain strike markers; kept speech must occur in the transcript.  The text of gaps is not looked at.
     """
     by = as_list(by)
     ident = [*by, "block_id"]
-    missing = blocks.join(program, ident, "left_anti").select(*ident, F.lit("missing").alias("problem"))
-    extra = program.join(blocks, ident, "left_anti").select(*ident, F.lit("extra").alias("problem"))
-    both = program.join(blocks.select(*ident, "text"), ident)
-    marked = F.contains(F.col("raw"), F.lit("~~")) & ~F.contains(F.col("text"), F.lit("~~"))
+
+    def problem(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*ident, F.lit(name).alias("problem"))
+
+    inserted = F.regexp_like("block_id", F.lit(r"^S\d+$"))
+    own, added = program.filter(~inserted), program.filter(inserted)
+    known = blocks.select(*ident)
+    known = known if gaps is None else known.unionByName(gaps.select(*ident))
+    missing = problem(blocks.join(own, ident, "left_anti"), "missing")
+    extra = problem(own.join(known, ident, "left_anti"), "extra")
+    kind = F.coalesce("kind", F.lit("speech")) if "kind" in blocks.columns else F.lit("speech")
+    both = own.join(blocks.select(*ident, "text", kind.alias("kind")), ident)
+    if gaps is not None:
+        both = both.join(gaps.select(*ident), ident, "left_anti")
+    out = missing.unionByName(extra)
+    if inserts is None:
+        out = out.unionByName(problem(added, "extra"))
+    else:
+        out = out.unionByName(problem(added.join(inserts, ident, "left_anti"), "extra"))
+        spoken = added.join(inserts.select(*ident, "text"), ident).withColumn("kind", F.lit("insert"))
+        both = both.unionByName(spoken)
+    marked = F.contains(F.col("raw"), F.lit("~~")) & (~F.contains(F.col("text"), F.lit("~~")) | (F.col("kind") == "insert"))
     clean = F.when(marked, tx.parse_strikes(F.col("raw"))["clean"]).otherwise(F.col("raw"))
-    altered = both.filter(tx.no_space(clean) != tx.no_space(F.col("text"))).select(
-        *ident, F.lit("altered").alias("problem")
-    )
-    wanted = (
-        both.filter("keep")
-        .select(*ident, tx.no_space(F.col("text")).alias("flat"))
-        .filter("flat <> ''")
-        .withColumn("g", F.substring("flat", 1, gram))
-        .distinct()
-    )
-    windows = settle(transcript_windows(cues, by, rows))
-    # every opening that can start in the window, also across its end; openings
-    # shorter than a full gram are listed at their own length
-    reach = F.concat("flat", F.substring("ahead", 1, gram - 1))
-    sizes = wanted.select(*by, F.length("g").alias("size")).distinct()
-    openings = (
-        windows.join(sizes, by)
-        .select(
-            *by,
-            "w",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("flat"), F.lit(1))),
-                        lambda i: F.substring(reach, i, F.col("size")),
-                    )
-                )
-            ).alias("g"),
-        )
-    )
-    found = (
-        wanted.join(openings, [*by, "g"])
-        .join(windows.withColumnRenamed("flat", "own"), [*by, "w"])
-        .filter(F.contains(F.concat("own", "ahead"), F.col("flat")))
-        .select(*ident)
-        .distinct()
-    )
-    absent = wanted.join(found, ident, "left_anti").select(*ident, F.lit("not_in_transcript").alias("problem"))
-    return missing.unionByName(extra).unionByName(altered).unionByName(absent)
+    altered = problem(both.filter(tx.no_space(clean) != tx.no_space(F.col("text"))), "altered")
+    wanted = both.filter("keep AND kind = 'speech'").select(*ident, tx.no_space(F.col("text")).alias("flat")).distinct()
+    return out.unionByName(altered).unionByName(problem(not_in_transcript(wanted, cues, by, ident), "not_in_transcript"))
 
 
 def apply_marks(

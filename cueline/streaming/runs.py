@@ -11,6 +11,8 @@ RUN_LOG = (
     "ts timestamp, session string, stage string, tool string, status string, "
     "metrics map<string,double>, detail string"
 )
+#: Column in which the parser leaves a line that it could not read.
+DAMAGED = "_corrupt_record"
 TICKETS = (
     "ts timestamp, source string, session string, issue string, suggestion string, "
     "status string, closed_ts timestamp"
@@ -18,15 +20,16 @@ TICKETS = (
 
 
 def parse_run_log(lines: DataFrame, column: str = "value", schema: str = RUN_LOG) -> DataFrame:
-    """Records of JSON lines; lines that are not JSON objects are skipped."""
-    record = F.from_json(column, schema, {"mode": "PERMISSIVE"})
-    return lines.select(record.alias("r")).select("r.*").filter("ts IS NOT NULL AND session IS NOT NULL")
+    """Records of JSON lines; exactly the lines that cannot be parsed are skipped, wherever they were cut."""
+    record = F.from_json(column, f"{schema}, {DAMAGED} string", {"columnNameOfCorruptRecord": DAMAGED})
+    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    return lines.filter(~blank).select(record.alias("r")).select("r.*").filter(F.col(DAMAGED).isNull()).drop(DAMAGED)
 
 
 def read_run_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """The append-only log under ``path``, at once or as it grows."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(RUN_LOG).option("mode", "DROPMALFORMED").json(path)
+    return parse_run_log(reader.text(path))
 
 
 def stream_runs(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
