@@ -14,6 +14,7 @@ input named ``shard`` or ``slot`` are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,58 +25,83 @@ from cueline.llm.common import PART_ROWS, dealt_rank, free_names, stored, unifor
 REACH = 12.0
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written and computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` rows are ``marked``, by inverting the law at ``u``.
 
     Weights relative to the mode follow from the ratio of neighbours, first upwards from the mode, then
     downwards; no factorial is needed, and the cost is the law's width, not its size.
     """
-    total, marked, drawn = (c.cast("double") for c in (total, marked, drawn))
-    one, zero = F.lit(1.0), F.lit(0.0)
-    low, high = F.greatest(zero, drawn + marked - total), F.least(drawn, marked)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("double")))
-    spread = F.sqrt(drawn * (marked / total) * (1 - marked / total) * F.greatest(zero, (total - drawn) / F.greatest(one, total - 1)))
-    reach = F.ceil(spread * REACH).cast("double") + 30
-    top, bottom = F.least(high, mode + reach), F.greatest(low, mode - reach)
-    ups = F.when(top > mode, F.sequence(mode.cast("bigint"), (top - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    downs = F.when(bottom < mode, F.sequence(mode.cast("bigint"), (bottom + 1).cast("bigint"), F.lit(-1).cast("bigint"))).otherwise(
-        F.array().cast("array<bigint>")
+    given = F.struct(
+        total.cast("double").alias("n"), marked.cast("double").alias("m"), drawn.cast("double").alias("d"), u.alias("u")
     )
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def located(x: Column) -> Column:
+        low, high = F.greatest(zero, x["d"] + x["m"] - x["n"]), F.least(x["d"], x["m"])
+        mode = F.least(high, F.greatest(low, F.floor((x["d"] + 1) * (x["m"] + 1) / (x["n"] + 2)).cast("double")))
+        share = x["m"] / x["n"]
+        spread = F.sqrt(x["d"] * share * (1 - share) * F.greatest(zero, (x["n"] - x["d"]) / F.greatest(one, x["n"] - 1)))
+        reach = F.ceil(spread * REACH).cast("double") + 30
+        return F.struct(low.alias("low"), high.alias("high"), mode.alias("mode"), reach.alias("reach"))
+
+    def steps(at: Column) -> Column:
+        """The numbers whose weights are taken, each with the number that it leads to."""
+        mode, none = at["mode"].cast("bigint"), F.array().cast("array<bigint>")
+        top = F.least(at["high"], at["mode"] + at["reach"]).cast("bigint")
+        bottom = F.greatest(at["low"], at["mode"] - at["reach"]).cast("bigint")
+        return F.struct(
+            F.when(top > mode, F.sequence(mode, top - 1)).otherwise(none).alias("up"),
+            F.when(bottom < mode, F.sequence(mode, bottom + 1, F.lit(-1).cast("bigint"))).otherwise(none).alias("down"),
+        )
 
-    def up(k: Column) -> Column:
-        return (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))
-
-    def down(k: Column) -> Column:
-        return k * (total - marked - drawn + k) / ((marked - k + 1) * (drawn - k + 1))
-
-    def mass(steps: Column, ratio) -> Column:
-        begun = F.struct(one.alias("w"), zero.alias("s"))
-
-        def add(a, k):
-            w = a["w"] * ratio(k.cast("double"))
-            return F.struct(w.alias("w"), (a["s"] + w).alias("s"))
-
-        return F.aggregate(steps, begun, add, lambda a: a["s"])
-
-    def find(steps: Column, ratio, rest: Column, sign: int) -> Column:
-        """The number reached when ``rest`` is used up; past the last step the last number."""
-        begun = F.struct(one.alias("w"), rest.alias("left"), mode.alias("k"))
-
-        def step(a, k):
-            w = a["w"] * ratio(k.cast("double"))
-            goes = a["left"] >= 0
-            return F.struct(
-                w.alias("w"),
-                F.when(goes, a["left"] - w).otherwise(a["left"]).alias("left"),
-                F.when(goes, k.cast("double") + sign).otherwise(a["k"]).alias("k"),
+    def walked(x: Column, at: Column, step: Column) -> Column:
+        def up(k: Column) -> Column:
+            return (x["m"] - k) * (x["d"] - k) / ((k + 1) * (x["n"] - x["m"] - x["d"] + k + 1))
+
+        def down(k: Column) -> Column:
+            return k * (x["n"] - x["m"] - x["d"] + k) / ((x["m"] - k + 1) * (x["d"] - k + 1))
+
+        def mass(numbers: Column, ratio: Callable[[Column], Column]) -> Column:
+            def add(a: Column, k: Column) -> Column:
+                return _let(a["w"] * ratio(k.cast("double")), lambda w: F.struct(w.alias("w"), (a["s"] + w).alias("s")))
+
+            return F.aggregate(numbers, F.struct(one.alias("w"), zero.alias("s")), add, lambda a: a["s"])
+
+        def find(numbers: Column, ratio: Callable[[Column], Column], rest: Column, sign: int) -> Column:
+            """The number at which ``rest`` is used up; past the last step the last number."""
+
+            def add(a: Column, k: Column) -> Column:
+                goes = a["left"] >= 0
+                return _let(
+                    a["w"] * ratio(k.cast("double")),
+                    lambda w: F.struct(
+                        w.alias("w"),
+                        F.when(goes, a["left"] - w).otherwise(a["left"]).alias("left"),
+                        F.when(goes, k.cast("double") + sign).otherwise(a["k"]).alias("k"),
+                    ),
+                )
+
+            begun = F.struct(one.alias("w"), rest.alias("left"), at["mode"].alias("k"))
+            return F.aggregate(numbers, begun, add, lambda a: a["k"])
+
+        def chosen(masses: Column) -> Column:
+            # the point is laid off on the mode (1), then the numbers above, then those below
+            point = x["u"] * (1 + masses["up"] + masses["down"]) - 1
+            return _let(
+                point,
+                lambda p: F.when(p < 0, at["mode"])
+                .when(p < masses["up"], find(step["up"], up, p, 1))
+                .otherwise(find(step["down"], down, p - masses["up"], -1)),
             )
 
-        return F.aggregate(steps, begun, step, lambda a: a["k"])
+        return _let(F.struct(mass(step["up"], up).alias("up"), mass(step["down"], down).alias("down")), chosen)
 
-    above, below = mass(ups, up), mass(downs, down)
-    # the point is laid off on: mode (1), then the numbers above, then those below
-    point = u * (1 + above + below) - 1
-    found = F.when(point < 0, mode).when(point < above, find(ups, up, point, 1)).otherwise(find(downs, down, point - above, -1))
+    found = _let(given, lambda x: _let(located(x), lambda at: _let(steps(at), lambda step: walked(x, at, step))))
     return F.when((marked <= 0) | (drawn <= 0) | (total <= 0), zero).otherwise(found).cast("bigint")
 
 
@@ -85,14 +111,12 @@ def _left_counts(counts: Column, total: Column, drawn: Column, seed: int, level:
     def draw(a, item):
         u = uniform(F.lit(seed), F.lit(level), node, item["s"])
         k = hypergeometric(a["total"], item["c"], a["drawn"], u)
-        # bound once: a lambda over a one-element array
-        return F.aggregate(
-            F.array(k),
-            a,
-            lambda b, got: F.struct(
-                (b["total"] - item["c"]).alias("total"),
-                (b["drawn"] - got).alias("drawn"),
-                F.concat(b["out"], F.array(got)).alias("out"),
+        return _let(
+            k,
+            lambda got: F.struct(
+                (a["total"] - item["c"]).alias("total"),
+                (a["drawn"] - got).alias("drawn"),
+                F.concat(a["out"], F.array(got)).alias("out"),
             ),
         )
 
@@ -132,7 +156,7 @@ def communication_matrix(blocks: DataFrame, n_blocks: int, rows: int, n_shards:
             ),
         )
         nodes = split.select(F.explode(halves).alias("h")).select("h.*").where("n > 0")
-        if level % 6 == 5:
+        if level % 3 == 2:
             nodes = stored(nodes)
     return stored(nodes.select(F.col("node").alias("block"), "counts"))
 
