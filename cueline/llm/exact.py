@@ -36,12 +36,12 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, widening: int
     clean = normalised(F.col("text"))
     read = docs.select("doc_id", clean.cast("binary").alias("data"), F.sha2(clean.cast("binary"), 256).alias("sha"))
     # the first split looks at the leading digit alone: most texts are alone already there
-    heads = (
-        docs.select(_digit(clean.cast("binary"), first_digit).alias("digit"))
-        .groupBy("digit")
+    # (a table, so that the join reads it by an exchange of its own and can split a digit that very many share)
+    heads = stored(
+        docs.select(_digit(clean.cast("binary"), first_digit).alias("head"))
+        .groupBy("head")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .withColumnRenamed("digit", "head")
     )
     split = read.join(heads, _digit(F.col("data"), first_digit) == F.col("head"), "left")
     state = stored(
@@ -61,10 +61,10 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, widening: int
     while not opened.isEmpty():
         width = min(width * widening, WIDEST_DIGIT)
         digits = opened.select("uid", "doc_id", "sha", "group", "rest").withColumn("digit", _digit(F.col("rest"), width))
-        groups = (
-            digits.groupBy("group", "digit")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first"))
-            .withColumnsRenamed({"group": "g", "digit": "d"})
+        groups = stored(
+            digits.groupBy(F.col("group").alias("g"), F.col("digit").alias("d")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(one).alias("first")
+            )
         )
         met = digits.join(groups, (F.col("group") == F.col("g")) & (F.col("digit") == F.col("d")))
         final = (F.col("n") == 1) | (F.octet_length("digit") < width)
