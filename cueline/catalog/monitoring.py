@@ -164,7 +164,14 @@ def stream_fail_rate(spark, sf):
     return shown(drain(ru.fail_rate(stream)), "window_start", "window_end")
 
 
-@query("stream_run_sessions")
+@query(
+    "stream_run_sessions",
+    "runs",
+    f"""WITH l AS (SELECT session_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts) AS p FROM runs),
+    i AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
+    SELECT strftime(min(ts), {STAMP}) AS first_ts, strftime(max(ts) + INTERVAL 30 MINUTE, {STAMP}) AS last_ts, session_id::VARCHAR AS session, count(*) AS runs FROM i
+    GROUP BY session_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM runs)""",
+)
 def stream_run_sessions(spark, sf):
     stream = log_stream(spark, sf).withWatermark("ts", "10 minutes")
     return shown(drain(ru.run_sessions(stream)), "first_ts", "last_ts")

@@ -719,7 +719,17 @@ def validate_notes(spark, sf):
     return checked.select("item_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("track_prefix")
+@query(
+    "track_prefix",
+    "turns",
+    """WITH RECURSIVE t AS (SELECT session_id, speaker AS track, row_number() OVER (PARTITION BY session_id ORDER BY min(turn_idx), speaker) AS n FROM turns GROUP BY session_id, speaker),
+    l AS (SELECT *, regexp_replace(upper(track), '[^A-Z]', '', 'g') AS l FROM t),
+    d AS (SELECT session_id, track, n, CASE WHEN length(l) > 1 THEN left(l, 1) || left(regexp_replace(substr(l, 2), '[AEIOU]', '', 'g') || substr(l, 2), 1) END AS code FROM l),
+    f(session_id, n, codes) AS (SELECT session_id, 0::BIGINT, []::VARCHAR[] FROM t GROUP BY session_id
+      UNION ALL SELECT d.session_id, d.n, list_append(codes, list_filter(list_concat([code], list_transform(range(0, d.n + 1), lambda i: 'T' || d.n || CASE WHEN i > 0 THEN i::VARCHAR ELSE '' END)),
+        lambda x: x IS NOT NULL AND NOT coalesce(list_contains(codes, x), FALSE))[1]) FROM f JOIN d ON d.session_id = f.session_id AND d.n = f.n + 1)
+    SELECT d.session_id, d.track, codes[d.n] AS prefix FROM d JOIN f USING (session_id, n)""",
+)
 def track_prefix(spark, sf):
     tracks = fx.turns(spark, sf).select(
         "session_id", F.col("speaker").alias("track"), F.col("turn_idx").alias("track_no")

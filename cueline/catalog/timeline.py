@@ -285,18 +285,51 @@ def _silences(spark, sf):
     return fx.turns(spark, sf).select("session_id", "start_ms", "end_ms").distinct()
 
 
-@query("clamp_to_words")
+SILENT = "sil AS (SELECT DISTINCT session_id, start_ms, end_ms FROM turns)"
+#: Gaps of the words themselves, as a silence detector that knows the words would give them.
+GAPS = "sil AS (SELECT DISTINCT session_id, end_ms AS start_ms, start_ms + 300 AS end_ms FROM words WHERE start_ms + 300 > end_ms)"
+#: Silences narrowed word by word: ``cl`` with lo_ms and hi_ms, null where a word lies inside.
+CLAMPED = """tw AS (SELECT s.session_id, s.start_ms, s.end_ms, w.start_ms AS a, w.end_ms AS b, row_number() OVER (PARTITION BY s.session_id, s.start_ms, s.end_ms ORDER BY w.start_ms, w.end_ms) AS n
+      FROM sil s JOIN words w ON w.session_id = s.session_id AND w.start_ms < s.end_ms AND w.end_ms > s.start_ms),
+    na(session_id, start_ms, end_ms, n, lo, hi, ok) AS (SELECT session_id, start_ms, end_ms, 0::BIGINT, start_ms, end_ms, TRUE FROM sil
+      UNION ALL SELECT na.session_id, na.start_ms, na.end_ms, tw.n, CASE WHEN ap OR a > lo THEN lo ELSE greatest(lo, b + 50) END,
+        CASE WHEN ap OR a <= lo OR b < hi THEN hi ELSE least(hi, a - 50) END, ok AND (ap OR a <= lo OR b >= hi)
+      FROM na JOIN tw ON tw.session_id = na.session_id AND tw.start_ms = na.start_ms AND tw.end_ms = na.end_ms AND tw.n = na.n + 1, LATERAL (SELECT NOT ok OR b <= lo OR a >= hi AS ap) x),
+    la AS (SELECT session_id, start_ms, end_ms, arg_max(lo, n) AS lo, arg_max(hi, n) AS hi, arg_max(ok, n) AS ok FROM na GROUP BY ALL),
+    cl AS (SELECT session_id, start_ms, end_ms, CASE WHEN ok AND hi > lo THEN lo END AS lo_ms, CASE WHEN ok AND hi > lo THEN hi END AS hi_ms FROM la)"""
+
+
+@query("clamp_to_words", "turns words", f"WITH RECURSIVE {SILENT}, {CLAMPED} SELECT session_id, start_ms, end_ms, lo_ms, hi_ms FROM cl")
 def clamp_to_words(spark, sf):
     return iv.clamp_to_words(_silences(spark, sf), fx.words(spark, sf))
 
 
-@query("tighten_pauses")
+@query(
+    "tighten_pauses",
+    "cues words",
+    f"""WITH RECURSIVE {GAPS}, {CLAMPED}, m AS ({merged("cues", "session_id", 2000)})
+    SELECT m.session_id, cl.lo_ms + 30 AS start_ms, cl.hi_ms - 30 AS end_ms FROM m JOIN cl ON cl.session_id = m.session_id
+      AND cl.hi_ms - cl.lo_ms > 100 AND cl.start_ms > m.start_ms + 300 AND cl.end_ms < m.end_ms - 300""",
+)
 def tighten_pauses(spark, sf):
+    """The gaps of the words inside merged cues, each cut down to 60 ms."""
     ranges = iv.merge_intervals(fx.cues(spark, sf), min_gap_ms=2000)
-    return iv.tighten_pauses(ranges, _silences(spark, sf), fx.words(spark, sf), max_pause_ms=200, keep_ms=100)
+    words = fx.words(spark, sf)
+    gaps = words.select("session_id", F.col("end_ms").alias("start_ms"), (F.col("start_ms") + 300).alias("end_ms"))
+    return iv.tighten_pauses(ranges, gaps.filter("end_ms > start_ms").distinct(), words, max_pause_ms=100, keep_ms=60)
 
 
-@query("snap_boundaries")
+@query(
+    "snap_boundaries",
+    "cues turns words",
+    f"""WITH RECURSIVE {SILENT}, {CLAMPED},
+    e AS (SELECT session_id, idx, TRUE AS st, start_ms AS t FROM cues UNION ALL SELECT session_id, idx, FALSE, end_ms FROM cues),
+    h AS (SELECT e.session_id, e.idx, e.st, e.t, min({{'a': cl.start_ms, 'b': cl.end_ms, 'lo': cl.lo_ms, 'hi': cl.hi_ms}}) AS s FROM e LEFT JOIN cl ON cl.session_id = e.session_id
+      AND e.t >= cl.start_ms - 400 AND e.t <= cl.end_ms + 400 GROUP BY ALL),
+    v AS (SELECT *, CASE WHEN s.a IS NULL THEN t::DOUBLE WHEN s.b - s.a > 1000 AND s.lo IS NULL THEN t::DOUBLE
+      WHEN s.b - s.a > 1000 AND s.hi - s.lo > 1000 THEN (CASE WHEN st THEN s.hi - 120 ELSE s.lo + 120 END)::DOUBLE ELSE (s.a + s.b) / 2.0 END AS x FROM h)
+    SELECT session_id, idx, max(CASE WHEN st THEN x END) AS start_ms, max(CASE WHEN NOT st THEN x END) AS end_ms FROM v GROUP BY session_id, idx""",
+)
 def snap_boundaries(spark, sf):
     ranges = fx.cues(spark, sf).select("session_id", "idx", "start_ms", "end_ms")
     return iv.snap_boundaries(ranges, _silences(spark, sf), fx.words(spark, sf))
