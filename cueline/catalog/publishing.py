@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
@@ -405,6 +406,33 @@ def insert_figures(spark, sf):
     return au.insert_figures(fx.doc_lines(spark, sf), anchors)
 
 
+@query(
+    "check_insertion",
+    "doc_lines",
+    """WITH an AS (SELECT DISTINCT vec_id % 50 AS doc_id, 'f' || vec_id || '.png' AS file, vec_id * 7 % 40 AS after_line FROM embeddings),
+    c AS (SELECT doc_id, count(*) AS n, max(CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END) AS edited FROM doc_lines WHERE regexp_replace(line, '\\s+', '', 'g') <> '' AND NOT starts_with(line, '![') GROUP BY doc_id),
+    d AS (SELECT DISTINCT doc_id FROM doc_lines)
+    SELECT d.doc_id AS entity, 'content_unchanged' AS rule, coalesce(edited, 0) = 0 AS ok FROM d LEFT JOIN c USING (doc_id)
+    UNION ALL SELECT doc_id, 'ideographs_unchanged', coalesce(edited, 0) = 0 FROM d LEFT JOIN c USING (doc_id)
+    UNION ALL SELECT d.doc_id, 'images_once', NOT EXISTS (SELECT 1 FROM an WHERE an.doc_id = d.doc_id AND an.after_line >= coalesce(c.n, 0)) FROM d LEFT JOIN c USING (doc_id)""",
+)
+def check_insertion(spark, sf):
+    """Images put in place; in every fourth document a line of content changed meanwhile."""
+    v = F.col("vec_id")
+    anchors = fx.table(spark, sf, "embeddings").select(
+        (v % 50).alias("doc_id"),
+        F.concat(F.lit("f"), v.cast("string"), F.lit(".png")).alias("file"),
+        (v * 7 % 40).alias("after_line"),
+        F.lit("c").alias("caption"),
+    )
+    before = fx.doc_lines(spark, sf)
+    image = F.startswith("line", F.lit("!["))
+    edited = F.when((F.col("doc_id") % 4 == 1) & ~image & (tx.strip(F.col("line")) != ""), F.concat("line", F.lit("的"))).otherwise(F.col("line"))
+    after = au.insert_figures(before, anchors).select("doc_id", F.concat_ws("/", F.lpad(F.col("seq_line").cast("string"), 12, "0"), "seq_part").alias("line_no"), edited.alias("line"))
+    ranked = after.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).cast("bigint"))
+    return au.check_insertion(before, ranked, anchors).select("entity", "rule", "ok")
+
+
 def _translation(spark, sf):
     segments = fx.cues(spark, sf).select("session_id", F.col("idx").alias("i"), "start_ms", "end_ms")
     parts = mixed_cues(spark, sf).select(

@@ -237,6 +237,28 @@ def drop_short(spark, sf):
     )
 
 
+@query(
+    "is_garbled_english",
+    "doc_lines",
+    f"""WITH {MIXED_LINES}, n AS (SELECT *, length(regexp_replace(line, '\\s+', '', 'g')) AS size, len(regexp_extract_all(line, '{k.LATIN_CLASS}')) AS latin FROM mixed)
+    SELECT doc_id, line_no, size = 0 OR contains(line, chr(65533)) OR (latin / greatest(size, 1) < {k.WIDE_RATIO_MIN} AND size > {k.MIN_CHARS_FOR_RATIO}) AS garbled FROM n""",
+)
+def is_garbled_english(spark, sf):
+    return mixed_lines(spark, sf).select("doc_id", "line_no", tx.is_garbled_english(F.col("line")).alias("garbled"))
+
+
+@query(
+    "clean_batch",
+    "cues",
+    r"""WITH t AS (SELECT session_id, idx, trim(text) AS text FROM cues)
+    SELECT session_id, idx, regexp_replace(replace(replace(text, 'tion', 'sion'), 'que', 'qe'), '[✅✸✦⏩○≅⏭]+\s*', '', 'g') AS text FROM t WHERE text <> '' AND length(text) <= 5""",
+)
+def clean_batch(spark, sf):
+    """Short texts alone pass a rule made for ideographs; corrections and markers follow."""
+    cues = fx.cues(spark, sf).select("session_id", "idx", tx.strip(F.col("text")).alias("text"))
+    return cl.clean_batch(cues, [("tion", "sion"), ("que", "qe")])
+
+
 @query("is_garbled", "doc_lines", f"WITH {MIXED_LINES} SELECT doc_id, line_no, {garbled('line')} AS garbled FROM mixed")
 def is_garbled(spark, sf):
     return mixed_lines(spark, sf).select("doc_id", "line_no", tx.is_garbled(F.col("line")).alias("garbled"))

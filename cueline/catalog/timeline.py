@@ -558,8 +558,13 @@ def split_at_speaker_change(spark, sf):
     "insert_blocks",
     "cues",
     """SELECT session_id, printf('S%04d', row_number() OVER (PARTITION BY session_id ORDER BY idx)) AS block_id,
-              start_ms, end_ms, 'Guest' AS speaker, trim(text) AS text, TRUE AS keep
-       FROM cues WHERE length(trim(text)) > 0""",
+              start_ms, end_ms, 'Guest' AS speaker, trim(text) AS text, TRUE AS keep,
+              CASE WHEN idx % 5 = 2 THEN '⚠ASR-artifact：同字元連續重複 6 次' ELSE '' END AS reason,
+              idx % 5 = 2 AS asr_artifact, CASE WHEN idx % 5 = 2 THEN '同字元連續重複 6 次' ELSE '' END AS asr_artifact_reason
+       FROM (SELECT * REPLACE (CASE WHEN idx % 5 = 2 THEN 'zzzzzz' || idx ELSE 'block ' || idx END AS text) FROM cues)""",
 )
 def insert_blocks(spark, sf):
-    return sp.insert_blocks(fx.cues(spark, sf), "Guest")
+    """Every fifth block is a run of one letter."""
+    n = F.col("idx").cast("string")
+    text = F.when(F.col("idx") % 5 == 2, F.concat(F.lit("zzzzzz"), n)).otherwise(F.concat(F.lit("block "), n))
+    return sp.insert_blocks(fx.cues(spark, sf).withColumn("text", text), "Guest")

@@ -96,6 +96,24 @@ def noise_floor(spark, sf):
     )
 
 
+@query(
+    "room_noise",
+    "frames",
+    """WITH m AS (SELECT session_id, f, 10 * log10(sum(pow(10.0, level_db / 10))) AS mix_db FROM frames GROUP BY session_id, f),
+    s AS (SELECT session_id, 100 AS a, 900 AS b FROM m GROUP BY session_id UNION ALL SELECT session_id, 1200, 1500 FROM m GROUP BY session_id UNION ALL SELECT -1, 0, 500)
+    SELECT s.session_id, round(coalesce(quantile_cont(m.mix_db, 0.25), -90.0), 6) AS noise_db
+    FROM s LEFT JOIN m ON m.session_id = s.session_id AND m.f * 10 >= a AND m.f * 10 + 10 <= b GROUP BY s.session_id""",
+)
+def room_noise(spark, sf):
+    """Two spans of every session, and a session without frames."""
+    frames = fx.frames(spark, sf)
+    known = frames.select("session_id").distinct()
+    spans = known.select("session_id", F.lit(100).alias("start_ms"), F.lit(900).alias("end_ms"))
+    spans = spans.unionByName(known.select("session_id", F.lit(1200).alias("start_ms"), F.lit(1500).alias("end_ms")))
+    silent = known.limit(1).select(F.lit(-1).cast("bigint").alias("session_id"), F.lit(0).alias("start_ms"), F.lit(500).alias("end_ms"))
+    return tr.room_noise(frames, spans.unionByName(silent)).withColumn("noise_db", F.round("noise_db", 6))
+
+
 PRED = f"""{GAINS}, {NOISE},
     pred AS (SELECT i.session_id, i.track, i.f, i.level_db, 10 * log10(greatest(1e-20,
                pow(10.0, n.noise_db / 10.0) + coalesce(sum(pow(10.0, j.level_db / 10.0) * pow(10.0, g.gain_db / 10.0)), 0))) AS predicted_db

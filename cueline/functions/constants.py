@@ -43,6 +43,7 @@ WIDE_CLASS = "[一-鿿㐀-䶿豈-﫿　-〿＀-￯，。！?、;:「」『』(()
 NOISE_GLYPH_CLASS = "[┌┐└┘├┤┬┴┼│─⊇◡◬Ⓓ჏ს⓪①②③④⑤⑥⑦⑧⑨]"
 EXOTIC_CLASS = "[Ⴀ-ჿ؀-ۿЀ-ӿ฀-๿ऀ-ॿ]"
 LONG_LATIN = r"(?:[a-zA-Z]{2,}\s+){5,}"
+LATIN_CLASS = "[A-Za-zÀ-ɏ]"
 WIDE_RATIO_MIN = 0.25
 MIN_CHARS_FOR_RATIO = 10
 NOISE_GLYPH_MAX = 1

@@ -110,6 +110,16 @@ def is_garbled(
     )
 
 
+def is_garbled_english(text: Column, latin_class: str = k.LATIN_CLASS) -> Column:
+    """The garble rule of English transcripts: undecodable, or too few Latin letters."""
+    size = no_space_length(text)
+    return (
+        (size == 0)
+        | F.contains(text, F.lit(k.REPLACEMENT_CHAR))
+        | ((count_class(text, latin_class) / size < k.WIDE_RATIO_MIN) & (size > k.MIN_CHARS_FOR_RATIO))
+    )
+
+
 def is_english_hallucination(text: Column) -> Column:
     t = strip(text)
     size = no_space_length(t)

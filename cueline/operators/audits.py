@@ -348,8 +348,17 @@ def publish_gate(
         F.count_if(F.coalesce("status", F.lit("")) != "done").alias("undone"),
         F.count_if("pending").alias("pending"),
     )
+    # a reference is looked up as it stands, then by its base name
     context = fg.figure_context(lines, by).withColumn("name", F.element_at(F.split("ref", "/"), -1))
-    matched = settle(context.join(notes, [by, "name"], "left"))
+    noted = F.struct("status", "terms").alias("note")
+    exact = notes.select(by, F.col("name").alias("ref"), noted)
+    based = notes.select(by, "name", noted.alias("base"))
+    found = F.coalesce("note", "base")
+    matched = settle(
+        context.join(exact, [by, "ref"], "left")
+        .join(based, [by, "name"], "left")
+        .select(by, "context", found["status"].alias("status"), found["terms"].alias("terms"))
+    )
     inserted = matched.groupBy(by).agg(
         F.count_if(F.coalesce("status", F.lit("")) != "inserted").alias("n")
     )
@@ -429,6 +438,37 @@ def insert_figures(lines: DataFrame, anchors: DataFrame, by: str = "doc_id") ->
     return old.unionByName(images)
 
 
+def check_insertion(before: DataFrame, after: DataFrame, files: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Whether inserting images left a document as it was: ``(entity, rule, ok, detail)``.
+
+    ``before`` and ``after`` hold ``line_no, line``, ``files`` the images put in.  Content lines must be the same in the same
+    order, the number of ideographs too, and every image must be there once.
+    """
+
+    def content(lines: DataFrame, name: str) -> DataFrame:
+        kept = lines.filter((tx.strip(F.col("line")) != "") & ~F.startswith("line", F.lit("![")))
+        return with_position(kept, by, ["line_no"], row_chunk("line_no"), "n", 0).select(by, "n", F.col("line").alias(name))
+
+    both = content(before, "old").join(content(after, "new"), [by, "n"], "full")
+    count = lambda c: tx.count_class(F.coalesce(F.col(c), F.lit("")), k.IDEOGRAPH_CLASS)
+    compared = both.groupBy(by).agg(
+        F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("moved"), (F.sum(count("new")) - F.sum(count("old"))).alias("gained")
+    )
+    images = after.select(by, F.explode(F.regexp_extract_all("line", F.lit(r"\(([^()]+)\)"), 1)).alias("file"))
+    there = images.join(files.select(by, "file").distinct(), [by, "file"]).groupBy(by, "file").agg(F.count("*").alias("n"))
+    wrong = files.select(by, "file").distinct().join(there, [by, "file"], "left").groupBy(by).agg(
+        F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("wrong")
+    )
+    docs = before.select(by).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = docs.join(compared, by, "left").join(wrong, by, "left")
+    return (
+        _rule(rows, by, "content_unchanged", zero("moved") == 0, zero("moved"))
+        .unionByName(_rule(rows, by, "ideographs_unchanged", zero("gained") == 0, zero("gained")))
+        .unionByName(_rule(rows, by, "images_once", zero("wrong") == 0, zero("wrong")))
+    )
+
+
 def assemble_translation(
     segments: DataFrame, parts: DataFrame, drops: DataFrame, by: str | Sequence[str] = "session_id"
 ) -> tuple[DataFrame, DataFrame]:

@@ -96,6 +96,15 @@ def hallucination_filter(df: DataFrame, lang: str, text: str = "text") -> DataFr
     return df.filter(~bad)
 
 
+def clean_batch(df: DataFrame, corrections: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
+    """The batch form of cleaning: drop hallucinated and garbled rows, correct spellings, strip marker emoji."""
+    kept = df.filter(~tx.is_batch_dropped(F.col(text)))
+    fixed = F.col(text)
+    for wrong, right in corrections:
+        fixed = F.replace(fixed, F.lit(wrong), F.lit(right))
+    return kept.withColumn(text, tx.strip_marker_emoji(fixed))
+
+
 def _repeated_phrase(t: Column, size: int) -> Column:
     """The first phrase of ``size`` characters, not all blank, said often enough in a row: (gram, n) or null."""
     again = rf"(?sU)(?=\s{{0,{size - 1}}}\S)(.{{{size}}})\1{{{k.PHRASE_REPEATS - 1},}}"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueline.operators.cleaning import flag_artifacts
 from cueline.operators.intervals import BIN_MS, interval_join, overlap_ms
 from cueline.operators.scan import (
     CHUNK_MS,
@@ -438,11 +439,14 @@ def glue_split_words(
 def insert_blocks(
     cues: DataFrame, speaker: str, by: str | Sequence[str] = "session_id"
 ) -> DataFrame:
-    """Blocks of a separately recorded insert: fixed speaker, own numbering."""
+    """Blocks of a separately recorded insert: fixed speaker, own numbering.
+
+    Recogniser loops are marked as in the main recording, with the mark as the reason.
+    """
     by = as_list(by)
     numbered = with_position(cues, by, ["idx"], time_chunk("idx", 512), "no")
     text = F.trim("text")
-    return numbered.filter(F.length(text) > 0).select(
+    blocks = numbered.filter(F.length(text) > 0).select(
         *by,
         F.format_string("S%04d", "no").alias("block_id"),
         "start_ms",
@@ -450,4 +454,6 @@ def insert_blocks(
         F.lit(speaker).alias("speaker"),
         text.alias("text"),
         F.lit(True).alias("keep"),
+        F.lit("").alias("reason"),
     )
+    return flag_artifacts(blocks)

@@ -196,6 +196,28 @@ def noise_floor(
     )
 
 
+def room_noise(
+    frames: DataFrame,
+    spans: DataFrame,
+    by: str | Sequence[str] = "session_id",
+    pct: float = 25.0,
+    hop_ms: int = 10,
+    bin_ms: int = 5000,
+) -> DataFrame:
+    """Level of the quiet part of the sampled spans: a percentile over their short windows.
+
+    Tracks are added up as powers.  A session without a frame in its spans gets -90.
+    """
+    by = as_list(by)
+    mixed = frames.groupBy(*by, "f").agg((10 * F.log10(F.sum(F.pow(F.lit(10.0), F.col("level_db") / 10)))).alias("mix_db"))
+    windows = mixed.select(*by, (F.col("f") * hop_ms).alias("start_ms"), ((F.col("f") + 1) * hop_ms).alias("end_ms"), "mix_db")
+    inside = interval_join(windows, spans.select(*by, "start_ms", "end_ms"), by, bin_ms).filter(
+        (F.col("start_ms") >= F.col("r_start_ms")) & (F.col("end_ms") <= F.col("r_end_ms"))
+    )
+    level = exact_percentile(inside, by, "mix_db", pct, F.floor("mix_db").cast("bigint"), "noise_db").drop("n")
+    return spans.select(*by).distinct().join(level, by, "left").withColumn("noise_db", F.coalesce("noise_db", F.lit(-90.0)))
+
+
 def drop_self_adjacent(
     events: DataFrame,
     own: DataFrame,
