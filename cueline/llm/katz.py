@@ -12,7 +12,7 @@ its chunk: pair, else history, else word, else unknown.  Pairs are dealt by hist
 history and can add up what backing off needs; histories with over 1/``HOT`` of all tokens, at most
 ``HOT`` of them, are dealt by pair and their sums completed afterwards.
 
-Words are compared by 64-bit hashes.  Null texts are empty and consist of their end.  Learning reads the documents
+Words are compared by 64-bit hashes, pairs by their history and bucket and 40 further bits.  Null texts are empty and consist of their end.  Learning reads the documents
 whose crc32 of the id modulo 5 is not 1; without any, nothing is known and the unknown class has all mass.  An
 empty table gives an empty result; further columns are ignored.
 """
@@ -31,7 +31,7 @@ from cueline.llm.common import remainder, stored, utf8
 from cueline.session import shared_folder
 
 #: Tokens in a chunk, entries of all chunks in a bucket, and the share of the tokens that makes a history hot.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 500_000, 1_000_000, 1000
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 800_000, 1_000_000, 10_000
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Hashes of the marks before and behind a document; the start is a history only.
@@ -40,16 +40,33 @@ START, END = np.uint64(0x51A7), np.uint64(0xE4D)
 _PACK = "binary"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Little-endian values byte plane by byte plane: leading zero bytes lie together and compress."""
+#: Low bytes of a pair's hash that are sent: with bucket and history, which are exact, they tell pairs apart.
+PAIR_BYTES = 5
+
+
+def packed(values: np.ndarray, keep: int | None = None, rising: bool = False) -> bytes:
+    """Little-endian values byte plane by byte plane, compressed.
+
+    ``keep`` takes only so many low bytes; ``rising`` values are written as differences.
+    """
+    from zstandard import ZstdCompressor
+
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
-    return np.ascontiguousarray(raw.T).tobytes()
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :keep].T).tobytes())
+
 
+def unpacked(data: bytes, kind: str, keep: int | None = None, rising: bool = False) -> np.ndarray:
+    from zstandard import ZstdDecompressor
 
-def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(ZstdDecompressor().decompress(data), dtype=np.uint8)
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width)
-    return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
+    planes = raw.reshape(keep or width, len(raw) // (keep or width))
+    out = np.zeros((planes.shape[1], width), dtype=np.uint8)
+    out[:, : keep or width] = planes.T
+    values = out.view(kind).reshape(-1)
+    return np.cumsum(values, dtype=values.dtype) if rising else values
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -110,11 +127,11 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             order = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), dtype=np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            row = [(task << 24) + number, ids, packed(np.array(train, dtype=np.uint8)), packed(np.array(lengths, dtype=np.int64)), packed(rank[local]), packed(words), packed(order.astype(np.int32)), packed(own)]
+            row = [(task << 24) + number, size, ids, packed(np.array(train, dtype=np.uint8)), packed(np.array(lengths, dtype=np.int64)), packed(rank[local]), packed(words, rising=True), packed(order.astype(np.int32)), packed(own)]
             number += 1
             ids, train, lengths, hashes, size = [], [], [], [], 0
-            kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 6
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "train", "lengths", "tokens", "words", "order", "own"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 6
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "size", "ids", "train", "lengths", "tokens", "words", "order", "own"])
 
         for batch in batches:
             for doc, learnt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -130,7 +147,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             yield flush()
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (remainder(F.col("doc_id"), 5) != 1).alias("train"), utf8(F.col("text")).alias("text"))
-    schema = "chunk bigint, ids array<bigint>, " + ", ".join(f"{c} {_PACK}" for c in ("train", "lengths", "tokens", "words", "order", "own"))
+    schema = "chunk bigint, size bigint, ids array<bigint>, " + ", ".join(f"{c} {_PACK}" for c in ("train", "lengths", "tokens", "words", "order", "own"))
     return read.mapInArrow(lay, schema)
 
 
@@ -139,7 +156,7 @@ def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
         return
-    words, counts = [unpacked(r["words"], "<u8") for r in rows], [unpacked(r["own"], "<i4") for r in rows]
+    words, counts = [unpacked(r["words"], "<u8", rising=True) for r in rows], [unpacked(r["own"], "<i4") for r in rows]
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
     ranks = np.bincount(np.minimum(total, TRUSTED + 2), minlength=TRUSTED + 3)
@@ -157,14 +174,15 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
         return
-    histories = [unpacked(r["histories"], "<u8") for r in rows]
+    histories = [unpacked(r["histories"], "<u8", rising=True) for r in rows]
     runs = [unpacked(r["runs"], "<i4") for r in rows]
-    pairs = np.concatenate([unpacked(r["pairs"], "<u8") for r in rows])
+    pairs = np.concatenate([unpacked(r["pairs"], "<u8", PAIR_BYTES) for r in rows])
     own = np.concatenate([unpacked(r["own"], "<i4") for r in rows])
     mass = np.concatenate([unpacked(r["p"], "<f8")[unpacked(r["codes"], "<i4")] for r in rows])
     known, at_v = np.unique(np.concatenate(histories), return_inverse=True)
     lengths = [len(h) for h in histories]
     of = np.repeat(at_v, np.concatenate(runs))
+    pairs |= of.astype(np.uint64) << np.uint64(8 * PAIR_BYTES)
     distinct, first, at = np.unique(pairs, return_index=True, return_inverse=True)
     total = np.bincount(at, weights=own, minlength=len(distinct)).astype(np.int64)
     seen = total > 0
@@ -175,15 +193,17 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranks = np.bincount(np.minimum(total, TRUSTED + 2), minlength=TRUSTED + 3).tolist()
     pair_ends = np.cumsum([int(x.sum()) for x in runs])[:-1]
     back_pairs, back_v = np.split(total[at], pair_ends), np.split(at_v, np.cumsum(lengths)[:-1])
+    # masses of rare histories are few different sums
+    levels, codes = np.unique(seen_mass, return_inverse=True)
     hot = np.concatenate([unpacked(r["hot"], "<u1") for r in rows]).astype(bool)
     partial = np.unique(at_v[hot])
     schema = pa.schema(
-        [("bucket", pa.int64()), ("chunk", pa.int64()), ("totals", pa.binary()), ("few", pa.binary()), ("mass", pa.binary()), ("ranks", pa.list_(pa.int64())), ("hot", pa.list_(pa.struct([("v", pa.int64()), ("few", pa.list_(pa.int64())), ("mass", pa.float64())])))]
+        [("bucket", pa.int64()), ("chunk", pa.int64()), ("totals", pa.binary()), ("few", pa.binary()), ("levels", pa.binary()), ("mass", pa.binary()), ("ranks", pa.list_(pa.int64())), ("hot", pa.list_(pa.struct([("v", pa.int64()), ("few", pa.list_(pa.int64())), ("mass", pa.float64())])))]
     )
     for i, (r, t, v) in enumerate(zip(rows, back_pairs, back_v, strict=True)):
         parts = [{"v": int(known[k].view(np.int64)), "few": table[k].tolist(), "mass": float(seen_mass[k])} for k in partial] if i == 0 else None
         yield pa.RecordBatch.from_pylist(
-            [{"bucket": r["bucket"], "chunk": r["chunk"], "totals": packed(t), "few": packed(table[v].reshape(-1)), "mass": packed(seen_mass[v]), "ranks": ranks if i == 0 else None, "hot": parts}],
+            [{"bucket": r["bucket"], "chunk": r["chunk"], "totals": packed(t), "few": packed(table[v].reshape(-1)), "levels": packed(levels[own_levels := np.unique(codes[v])]), "mass": packed(np.searchsorted(own_levels, codes[v]).astype(np.int32)), "ranks": ranks if i == 0 else None, "hot": parts}],
             schema=schema,
         )
 
@@ -192,7 +212,7 @@ class Chunk:
     """The tokens, words and pairs of a chunk; pairs in the order in which buckets get and return them."""
 
     def __init__(self, row: dict, totals: list[bytes]):
-        words, order = unpacked(row["words"], "<u8"), unpacked(row["order"], "<i4")
+        words, order = unpacked(row["words"], "<u8", rising=True), unpacked(row["order"], "<i4")
         counts = np.concatenate([unpacked(t, "<i8") for t in totals])
         self.words, self.counts = words[order], counts[order]
         self.tokens = unpacked(row["tokens"], "<i4").astype(np.int64)
@@ -250,7 +270,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     writer.saveAsTable(name)
     chunks = spark.table(name)
     # sizes of the corpus: sums over the chunks
-    facts = chunks.agg(F.sum(F.expr("octet_length(tokens) div 4")), F.count(F.lit(1))).first()
+    facts = chunks.agg(F.sum("size"), F.count(F.lit(1))).first()
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     if not facts[1]:
         return spark.createDataFrame([], schema)
@@ -259,12 +279,12 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, own = unpacked(row["words"], "<u8"), unpacked(row["own"], "<i4")
+                words, own = unpacked(row["words"], "<u8", rising=True), unpacked(row["own"], "<i4")
                 bucket = (words >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
                 starts = _runs(bucket)
                 for a, b in zip(starts, np.append(starts[1:], len(words)), strict=True):
                     yield pa.RecordBatch.from_pylist(
-                        [{"bucket": int(bucket[a]), "chunk": row["chunk"], "words": packed(words[a:b]), "own": packed(own[a:b])}],
+                        [{"bucket": int(bucket[a]), "chunk": row["chunk"], "words": packed(words[a:b], rising=True), "own": packed(own[a:b])}],
                         schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("own", pa.binary())]),
                     )
 
@@ -297,10 +317,10 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
                             {
                                 "bucket": int(bucket[a]),
                                 "chunk": row["chunk"],
-                                "histories": packed(v[a:b][new]),
+                                "histories": packed(v[a:b][new], rising=True),
                                 "runs": packed(np.diff(np.append(new, b - a)).astype(np.int32)),
                                 "hot": packed(hot[a:b][new].astype(np.uint8)),
-                                "pairs": packed(pairs[a:b]),
+                                "pairs": packed(pairs[a:b], PAIR_BYTES),
                                 "own": packed(own[a:b]),
                                 "p": packed(model.p(levels)),
                                 "codes": packed(codes.astype(np.int32)),
@@ -315,7 +335,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     pairs_back = stored(
         dealt.groupBy("bucket").applyInArrow(
             lambda table: pa.Table.from_batches(list(_add_pairs(iter(table.to_batches()))), schema=_PAIRS_SCHEMA),
-            "bucket bigint, chunk bigint, totals binary, few binary, mass binary, ranks array<bigint>, hot array<struct<v:bigint,few:array<bigint>,mass:double>>",
+            "bucket bigint, chunk bigint, totals binary, few binary, levels binary, mass binary, ranks array<bigint>, hot array<struct<v:bigint,few:array<bigint>,mass:double>>",
         )
     )
     d = discounts(_ranks(pairs_back))
@@ -327,7 +347,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     )  # at most HOT histories hold over 1/HOT of the tokens each
     hot_sums = {r["v"]: ([r[f"few{k}"] for k in range(TRUSTED)], r["mass"]) for r in hot_rows}
     ready = located.join(
-        _by_chunk(pairs_back, "totals", "few", "mass").withColumnsRenamed({"of": "pof", "parts": "pair_parts"}), F.col("chunk") == F.col("pof")
+        _by_chunk(pairs_back, "totals", "few", "levels", "mass").withColumnsRenamed({"of": "pof", "parts": "pair_parts"}), F.col("chunk") == F.col("pof")
     ).drop("pof")
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +373,7 @@ _PAIRS_SCHEMA = pa.schema(
         ("chunk", pa.int64()),
         ("totals", pa.binary()),
         ("few", pa.binary()),
+        ("levels", pa.binary()),
         ("mass", pa.binary()),
         ("ranks", pa.list_(pa.int64())),
         ("hot", pa.list_(pa.struct([("v", pa.int64()), ("few", pa.list_(pa.int64())), ("mass", pa.float64())]))),
@@ -377,7 +398,7 @@ def _evaluated(row: dict, model: Words, types: int, d: np.ndarray, hot_sums: dic
     totals = np.empty(len(order), dtype=np.int64)
     totals[order] = np.concatenate([unpacked(x["totals"], "<i8") for x in parts])
     few = np.concatenate([unpacked(x["few"], "<i4") for x in parts]).reshape(-1, TRUSTED).astype(np.int64)
-    mass = np.concatenate([unpacked(x["mass"], "<f8") for x in parts])
+    mass = np.concatenate([unpacked(x["levels"], "<f8")[unpacked(x["mass"], "<i4")] for x in parts])
     # sums came once for each history of a bucket; a hot history lies in several and has sums of its own
     new = _runs(bucket, v)
     local = chunk.v[order][new]

@@ -135,7 +135,7 @@ def katz_rows():
     return rows + [(500, None, None), (501, "", "x"), (None, "w1 w2", "y"), (502, " new words only ", None), (3, rows[3][1], None), (503, "W1 É é\x0bw1", None), (504, "the " * 300, "z")]
 
 
-@pytest.mark.parametrize("chunk,bucket,hot", [(500_000, 1_000_000, 1000), (150, 200, 1000), (300, 100, 3), (1, 10_000, 20)])
+@pytest.mark.parametrize("chunk,bucket,hot", [(800_000, 1_000_000, 10_000), (150, 200, 1000), (300, 100, 3), (1, 10_000, 20)])
 def test_katz_in_any_split(spark, monkeypatch, chunk, bucket, hot):
     monkeypatch.setattr(katz, "HOT", hot)
     rows = katz_rows()
@@ -155,6 +155,9 @@ def test_packing(kind):
     for n in (0, 1, 7):
         values = np.arange(n).astype(kind)
         assert katz.unpacked(katz.packed(values), kind).tolist() == values.tolist()
+    big = np.array([3, 2**40 - 1, 2**50 + 7], dtype=np.uint64)
+    assert katz.unpacked(katz.packed(big, rising=True), "<u8", rising=True).tolist() == big.tolist()
+    assert katz.unpacked(katz.packed(big, 5), "<u8", 5).tolist() == [3, 2**40 - 1, 7]
 
 
 def test_the_model_beats_the_base(spark):
