@@ -28,11 +28,12 @@ VOWELS = "[aeiou]"
 
 
 def pitch_frames(spark, sf):
-    """One track as 300 ms frames with a pitch where it is loud."""
+    """The loudest track of every 300 ms frame, with a pitch where it is loud."""
     loud = F.col("level_db") > -35
     return (
         fx.frames(spark, sf)
-        .filter("track = 'N'")
+        .groupBy("session_id", "f")
+        .agg(F.max("level_db").alias("level_db"))
         .select(
             "session_id",
             (F.col("f") - 1).alias("f"),
@@ -45,7 +46,7 @@ def pitch_frames(spark, sf):
 
 FEATURES = """
     pf AS (SELECT session_id, f - 1 AS f, level_db, level_db > -35 AS voiced,
-             CASE WHEN level_db > -35 AND f % 7 <> 0 THEN 200.0 + level_db * 2 END AS f0 FROM frames WHERE track = 'N'),
+             CASE WHEN level_db > -35 AND f % 7 <> 0 THEN 200.0 + level_db * 2 END AS f0 FROM (SELECT session_id, f, max(level_db) AS level_db FROM frames GROUP BY session_id, f)),
     sp AS (SELECT session_id, idx, start_ms // 300 AS fa, greatest(start_ms // 300 + 1, end_ms // 300) AS fb FROM cues),
     m AS (SELECT sp.session_id, sp.idx, quantile_cont(level_db, 0.75) AS rms_db,
             quantile_cont(f0, 0.75) FILTER (voiced) AS f0_p75,
@@ -255,10 +256,10 @@ def insert_rows_before(spark, sf):
 @query(
     "cfar_threshold",
     "frames",
-    """WITH q AS (SELECT session_id, track, quantile_cont(level_db, 0.995) AS t FROM frames WHERE level_db < -30 AND f % 3 = 0 GROUP BY ALL)
+    """WITH q AS (SELECT session_id, track, quantile_cont(level_db, 0.995) AS t FROM frames WHERE level_db < -30 GROUP BY ALL)
        SELECT session_id, track, coalesce(t, 10.0) AS threshold FROM (SELECT DISTINCT session_id, track FROM frames) LEFT JOIN q USING (session_id, track)""",
 )
 def cfar_threshold(spark, sf):
     frames = fx.frames(spark, sf)
-    negatives = frames.filter("level_db < -30 AND f % 3 = 0")
+    negatives = frames.filter("level_db < -30")
     return sc.cfar_threshold(negatives, "level_db", default=10.0, groups=frames)

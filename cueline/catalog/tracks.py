@@ -184,16 +184,14 @@ def _judged(frames):
             PARTITION BY session_id, track ORDER BY f) AS g FROM hit) GROUP BY session_id, track, g),
     m AS ({merged("r", "session_id, track", 20)}),
     o AS (SELECT session_id, track, min(f) * 10 AS start_ms, (max(f) + 1) * 10 AS end_ms FROM (SELECT *, f - row_number() OVER (
-            PARTITION BY session_id, track ORDER BY f) AS g FROM fl WHERE own AND f % 50 = 0) GROUP BY session_id, track, g)
+            PARTITION BY session_id, track ORDER BY f) AS g FROM frames WHERE level_db > -11) GROUP BY session_id, track, g)
     SELECT session_id, track, start_ms, end_ms FROM m WHERE end_ms - start_ms >= 20
       AND NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = m.session_id AND o.track = m.track
                       AND m.start_ms < o.end_ms + 50 AND m.end_ms > o.start_ms - 50)""",
 )
 def unclaimed_events(spark, sf):
     frames = frames_once(spark, sf)
-    own = runs_of(
-        frames.filter("f % 50 = 0"), (F.col("level_db") > -15) & (F.col("f") % 2 == 0)
-    )
+    own = runs_of(frames, F.col("level_db") > -11)
     return tr.unclaimed_events(
         _judged(frames), own, pct=30.0, gap_ms=20, min_ms=20, guard_ms=50
     )
