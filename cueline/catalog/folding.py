@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
 from cueline.catalog.text import mixed_cues
-from cueline.catalog.tracks import frames_once
+from cueline.catalog.tracks import NOISE, frames_once
 from cueline.fixtures import with_views
 from cueline.functions import constants as k
 from cueline.functions import text as tx
@@ -189,7 +189,32 @@ def _phrases(spark, sf):
     )
 
 
-@query("owner_runs")
+#: Frames of every phrase with the loudest tracks, and the owner after each frame.
+OWNERS = f"""ph AS (SELECT session_id, idx AS phrase_id, greatest(0, round(idx * 150 / 10.0))::BIGINT AS fa, round((idx * 150 + 700 + start_ms % 300) / 10.0)::BIGINT AS fb FROM cues),
+    ce AS (SELECT p.session_id, phrase_id, f.f, f.track, f.level_db FROM ph p JOIN frames f ON f.session_id = p.session_id AND f.f >= fa AND f.f < fb),
+    ra AS (SELECT session_id, phrase_id, f, count(*) AS w, list(ce.track ORDER BY level_db DESC, ce.track)[1] AS best, list(level_db ORDER BY level_db DESC)[1] AS top,
+        list(level_db ORDER BY level_db DESC)[2] AS sec, bool_and(level_db < coalesce({{floor}}, '-infinity'::DOUBLE)) AS quiet, map(list(ce.track), list(level_db)) AS lv
+      FROM ce LEFT JOIN {{noise}} n USING (session_id, track) GROUP BY session_id, phrase_id, f HAVING count(*) > 1),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY session_id, phrase_id ORDER BY f) - 1 AS i, count(*) OVER (PARTITION BY session_id, phrase_id) AS n,
+        min(f) OVER (PARTITION BY session_id, phrase_id) AS f0 FROM (SELECT * FROM ra QUALIFY w = max(w) OVER (PARTITION BY session_id, phrase_id))),
+    st(session_id, phrase_id, i, owner, began, rival, rb) AS (SELECT session_id, phrase_id, -1::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR, 0::BIGINT FROM fr WHERE i = 0
+      UNION ALL SELECT fr.session_id, fr.phrase_id, fr.i, CASE WHEN est THEN claim ELSE owner END, CASE WHEN est THEN since ELSE began END, CASE WHEN est THEN NULL ELSE claim END, since
+      FROM st JOIN fr ON fr.session_id = st.session_id AND fr.phrase_id = st.phrase_id AND fr.i = st.i + 1,
+        LATERAL (SELECT CASE WHEN best IS DISTINCT FROM owner AND NOT (quiet AND top - sec < {k.FLOOR_BYPASS_LEAD_DB}) AND top - CASE WHEN owner IS NULL THEN sec ELSE lv[owner] END >= 3.0 THEN best END AS claim) x,
+        LATERAL (SELECT CASE WHEN claim IS NOT NULL AND claim = rival THEN rb ELSE fr.i END AS since) y,
+        LATERAL (SELECT claim IS NOT NULL AND (fr.i - since + 1) * 0.01 >= least(CASE WHEN owner IS NULL THEN 0.06 ELSE 0.05 END, greatest(0.02, 0.006 * n)) - 1e-9 AS est) z),
+    ow AS (SELECT session_id, phrase_id, began, max_by(owner, i) AS owner FROM st WHERE i >= 0 GROUP BY ALL),
+    sp AS (SELECT *, lead(began) OVER (PARTITION BY session_id, phrase_id ORDER BY began) AS stop, row_number() OVER (PARTITION BY session_id, phrase_id ORDER BY began) - 1 AS run FROM ow),
+    ru AS (SELECT sp.session_id, sp.phrase_id, run::INT AS run, (any_value(f0) + began) * 10 AS start_ms, (any_value(f0) + coalesce(stop, any_value(n))) * 10 AS end_ms, owner,
+        CASE WHEN owner IS NULL THEN CASE WHEN avg(quiet::INT) >= 0.5 THEN 'floor_gated' WHEN bool_or(NOT quiet AND top - sec >= 3.0) THEN 'unstable' ELSE 'below_margin' END END AS cause
+      FROM sp JOIN fr ON fr.session_id = sp.session_id AND fr.phrase_id = sp.phrase_id AND fr.i >= began AND fr.i < coalesce(stop, n) GROUP BY sp.session_id, sp.phrase_id, run, began, stop, owner)"""
+
+
+@query(
+    "owner_runs",
+    "cues frames",
+    f"WITH RECURSIVE {NOISE}, {OWNERS.format(floor='n.noise_db - 20.0', noise='noise')} SELECT session_id, phrase_id, run, start_ms, end_ms, owner, cause FROM ru",
+)
 def owner_runs(spark, sf):
     frames = frames_once(spark, sf)
     floors = noise_floor(frames, margin_db=-20.0).select("session_id", "track", "floor_db")
@@ -212,12 +237,56 @@ def _owner_parts(spark, sf):
     return fo.split_phrase_by_owner(words, runs)
 
 
-@query("split_phrase_by_owner")
+#: Six words of 100 ms in every phrase, cut where owners change: ``pa``.
+PARTS = f"""{OWNERS.format(floor='n.q', noise='(SELECT NULL::BIGINT AS session_id, NULL::VARCHAR AS track, NULL::DOUBLE AS q)')},
+    wo AS (SELECT session_id, idx AS phrase_id, i, idx * 150 + (i - 1) * 120 AS a, idx * 150 + (i - 1) * 120 + 100 AS b FROM cues, range(1, 7) t(i)
+      WHERE EXISTS (SELECT 1 FROM ru WHERE ru.session_id = cues.session_id AND ru.phrase_id = idx)),
+    nr AS (SELECT session_id, phrase_id, run, min({{'o': abs(a - 10.0 - start_ms), 'i': i}}) AS m FROM ru JOIN wo USING (session_id, phrase_id) WHERE run > 0 AND i > 1 GROUP BY ALL),
+    cu AS (SELECT DISTINCT session_id, phrase_id, m.i AS i FROM nr WHERE m.o <= 250),
+    mi AS (SELECT session_id, phrase_id, count(*) > (SELECT count(*) FROM cu WHERE cu.session_id = nr.session_id AND cu.phrase_id = nr.phrase_id) AS missed FROM nr GROUP BY session_id, phrase_id),
+    wp AS (SELECT wo.*, (SELECT count(*) FROM cu WHERE cu.session_id = wo.session_id AND cu.phrase_id = wo.phrase_id AND cu.i <= wo.i)::INT AS part FROM wo),
+    pt AS (SELECT session_id, phrase_id, part, min(a) AS start_ms, max(b) AS end_ms, string_agg('w' || (i - 1), '' ORDER BY i) AS text FROM wp GROUP BY ALL),
+    sh AS (SELECT pt.session_id, pt.phrase_id, part, run, owner, cause, least(pt.end_ms, ru.end_ms) - greatest(pt.start_ms, ru.start_ms) AS ms FROM pt JOIN ru USING (session_id, phrase_id)
+      WHERE least(pt.end_ms, ru.end_ms) > greatest(pt.start_ms, ru.start_ms)),
+    so AS (SELECT session_id, phrase_id, part, owner FROM (SELECT session_id, phrase_id, part, owner, sum(ms) AS ms, min(run) AS run FROM sh GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY session_id, phrase_id, part ORDER BY ms DESC, run) = 1),
+    sc AS (SELECT session_id, phrase_id, part, cause FROM (SELECT session_id, phrase_id, part, cause, sum(ms) AS ms, min(run) AS run FROM sh WHERE owner IS NULL GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY session_id, phrase_id, part ORDER BY ms DESC, run) = 1),
+    pa AS (SELECT pt.*, so.owner, CASE WHEN so.owner IS NULL THEN CASE coalesce(sc.cause, 'below_margin') WHEN 'floor_gated' THEN '{k.UNCERTAIN_TEXT["floor_gated"]}'
+        WHEN 'unstable' THEN '{k.UNCERTAIN_TEXT["unstable"]}' ELSE '{k.UNCERTAIN_TEXT["below_margin"]}' END WHEN coalesce(missed, FALSE) THEN '{k.UNCERTAIN_TEXT["uncut"]}' ELSE '' END AS reason
+      FROM pt LEFT JOIN so USING (session_id, phrase_id, part) LEFT JOIN sc USING (session_id, phrase_id, part) LEFT JOIN mi USING (session_id, phrase_id))"""
+
+
+@query(
+    "split_phrase_by_owner",
+    "cues frames",
+    f"WITH RECURSIVE {PARTS} SELECT session_id, phrase_id, part, start_ms, end_ms, text, owner, reason <> '' AS uncertain, reason FROM pa",
+)
 def split_phrase_by_owner(spark, sf):
     return _owner_parts(spark, sf)
 
 
-@query("enforce_phrase_len")
+#: Short parts glued to the one before, part by part; then a short first part to the second.
+GLUED = f"""{PARTS}, np AS (SELECT *, row_number() OVER (PARTITION BY session_id, phrase_id ORDER BY part) AS n FROM pa),
+    gl(session_id, phrase_id, n, head, a) AS (SELECT session_id, phrase_id, n, n, start_ms FROM np WHERE n = 1
+      UNION ALL SELECT np.session_id, np.phrase_id, np.n, CASE WHEN fit THEN head ELSE np.n END, CASE WHEN fit THEN a ELSE np.start_ms END
+      FROM gl JOIN np ON np.session_id = gl.session_id AND np.phrase_id = gl.phrase_id AND np.n = gl.n + 1
+        JOIN np o ON o.session_id = gl.session_id AND o.phrase_id = gl.phrase_id AND o.n = gl.head,
+        LATERAL (SELECT np.end_ms - np.start_ms < 400 AND o.owner IS NOT DISTINCT FROM np.owner AND np.end_ms - a <= 1200 AS fit) x),
+    g1 AS (SELECT np.session_id, np.phrase_id, head, min(np.part) AS part, min(np.start_ms) AS start_ms, max_by(np.end_ms, np.n) AS end_ms, string_agg(np.text, '' ORDER BY np.n) AS text, any_value(np.owner) AS owner,
+        bool_or(reason <> '') AS uncertain, list_filter(list(reason ORDER BY np.n), lambda r: r <> '') AS rs FROM gl JOIN np USING (session_id, phrase_id, n) GROUP BY np.session_id, np.phrase_id, head),
+    g2 AS (SELECT *, row_number() OVER w AS n, lead(owner) OVER w AS o2, lead(end_ms) OVER w AS e2, count(*) OVER (PARTITION BY session_id, phrase_id) AS m FROM g1 WINDOW w AS (PARTITION BY session_id, phrase_id ORDER BY head)),
+    fi AS (SELECT session_id, phrase_id FROM g2 WHERE n = 1 AND m > 1 AND end_ms - start_ms < 400 AND owner IS NOT DISTINCT FROM o2 AND e2 - start_ms <= 1200),
+    g3 AS (SELECT g2.*, CASE WHEN n = 2 AND fi.session_id IS NOT NULL THEN 1 ELSE n END AS h FROM g2 LEFT JOIN fi USING (session_id, phrase_id))"""
+
+
+@query(
+    "enforce_phrase_len",
+    "cues frames",
+    f"""WITH RECURSIVE {GLUED} SELECT session_id, phrase_id, min(part) AS part, min(start_ms) AS start_ms, max_by(end_ms, n) AS end_ms, string_agg(text, '' ORDER BY n) AS text, any_value(owner) AS owner,
+      bool_or(uncertain) AS uncertain, coalesce(list_aggregate(list_filter(flatten(list(rs ORDER BY n)), lambda r, i: list_position(flatten(list(rs ORDER BY n)), r) = i), 'string_agg', '{k.REASON_SEPARATOR}'), '') AS reason
+    FROM g3 GROUP BY session_id, phrase_id, h""",
+)
 def enforce_phrase_len(spark, sf):
     return fo.enforce_phrase_len(_owner_parts(spark, sf))
 
