@@ -240,11 +240,11 @@ def _owner_parts(spark, sf):
 #: Six words of 100 ms in every phrase, cut where owners change: ``pa``.
 PARTS = f"""{OWNERS.format(floor='n.q', noise='(SELECT NULL::BIGINT AS session_id, NULL::VARCHAR AS track, NULL::DOUBLE AS q)')},
     wo AS (SELECT session_id, idx AS phrase_id, i, idx * 150 + (i - 1) * 120 AS a, idx * 150 + (i - 1) * 120 + 100 AS b FROM cues, range(1, 7) t(i)
-      WHERE EXISTS (SELECT 1 FROM ru WHERE ru.session_id = cues.session_id AND ru.phrase_id = idx)),
+      SEMI JOIN (SELECT session_id, phrase_id FROM ru) h ON h.session_id = cues.session_id AND h.phrase_id = idx),
     nr AS (SELECT session_id, phrase_id, run, min({{'o': abs(a - 10.0 - start_ms), 'i': i}}) AS m FROM ru JOIN wo USING (session_id, phrase_id) WHERE run > 0 AND i > 1 GROUP BY ALL),
     cu AS (SELECT DISTINCT session_id, phrase_id, m.i AS i FROM nr WHERE m.o <= 250),
-    mi AS (SELECT session_id, phrase_id, count(*) > (SELECT count(*) FROM cu WHERE cu.session_id = nr.session_id AND cu.phrase_id = nr.phrase_id) AS missed FROM nr GROUP BY session_id, phrase_id),
-    wp AS (SELECT wo.*, (SELECT count(*) FROM cu WHERE cu.session_id = wo.session_id AND cu.phrase_id = wo.phrase_id AND cu.i <= wo.i)::INT AS part FROM wo),
+    mi AS (SELECT session_id, phrase_id, count(*) > coalesce(any_value(made), 0) AS missed FROM nr LEFT JOIN (SELECT session_id, phrase_id, count(*) AS made FROM cu GROUP BY ALL) USING (session_id, phrase_id) GROUP BY session_id, phrase_id),
+    wp AS (SELECT wo.session_id, wo.phrase_id, wo.i, wo.a, wo.b, count(cu.i)::INT AS part FROM wo LEFT JOIN cu ON cu.session_id = wo.session_id AND cu.phrase_id = wo.phrase_id AND cu.i <= wo.i GROUP BY ALL),
     pt AS (SELECT session_id, phrase_id, part, min(a) AS start_ms, max(b) AS end_ms, string_agg('w' || (i - 1), '' ORDER BY i) AS text FROM wp GROUP BY ALL),
     sh AS (SELECT pt.session_id, pt.phrase_id, part, run, owner, cause, least(pt.end_ms, ru.end_ms) - greatest(pt.start_ms, ru.start_ms) AS ms FROM pt JOIN ru USING (session_id, phrase_id)
       WHERE least(pt.end_ms, ru.end_ms) > greatest(pt.start_ms, ru.start_ms)),

@@ -287,7 +287,7 @@ def _silences(spark, sf):
 
 SILENT = "sil AS (SELECT DISTINCT session_id, start_ms, end_ms FROM turns)"
 #: Gaps of the words themselves, as a silence detector that knows the words would give them.
-GAPS = "sil AS (SELECT DISTINCT session_id, end_ms AS start_ms, start_ms + 300 AS end_ms FROM words WHERE start_ms + 300 > end_ms)"
+WORD_GAPS = "sil AS (SELECT DISTINCT session_id, end_ms AS start_ms, start_ms + 300 AS end_ms FROM words WHERE start_ms + 300 > end_ms)"
 #: Silences narrowed word by word: ``cl`` with lo_ms and hi_ms, null where a word lies inside.
 CLAMPED = """tw AS (SELECT s.session_id, s.start_ms, s.end_ms, w.start_ms AS a, w.end_ms AS b, row_number() OVER (PARTITION BY s.session_id, s.start_ms, s.end_ms ORDER BY w.start_ms, w.end_ms) AS n
       FROM sil s JOIN words w ON w.session_id = s.session_id AND w.start_ms < s.end_ms AND w.end_ms > s.start_ms),
@@ -307,7 +307,7 @@ def clamp_to_words(spark, sf):
 @query(
     "tighten_pauses",
     "cues words",
-    f"""WITH RECURSIVE {GAPS}, {CLAMPED}, m AS ({merged("cues", "session_id", 2000)})
+    f"""WITH RECURSIVE {WORD_GAPS}, {CLAMPED}, m AS ({merged("cues", "session_id", 2000)})
     SELECT m.session_id, cl.lo_ms + 30 AS start_ms, cl.hi_ms - 30 AS end_ms FROM m JOIN cl ON cl.session_id = m.session_id
       AND cl.hi_ms - cl.lo_ms > 100 AND cl.start_ms > m.start_ms + 300 AND cl.end_ms < m.end_ms - 300""",
 )
