@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, widening: int
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
-    split = read.join(heads, _digit(F.col("data"), first_digit) == F.col("head"), "left")
+    split = read.join(heads.hint("merge"), _digit(F.col("data"), first_digit) == F.col("head"), "left")
     state = stored(
         split.select(
             F.monotonically_increasing_id().alias("uid"),
@@ -66,7 +66,7 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, widening: int
                 F.count(F.lit(1)).alias("n"), F.min(one).alias("first")
             )
         )
-        met = digits.join(groups, (F.col("group") == F.col("g")) & (F.col("digit") == F.col("d")))
+        met = digits.join(groups.hint("merge"), (F.col("group") == F.col("g")) & (F.col("digit") == F.col("d")))
         final = (F.col("n") == 1) | (F.octet_length("digit") < width)
         state = stored(
             met.select(
