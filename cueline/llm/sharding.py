@@ -171,17 +171,20 @@ def uniform_shards(df: DataFrame, n_shards: int, seed: int = 11, block_rows: int
         raise ValueError("n_shards must be at least 1")
     kept = free_names(df, "shard", "slot")
     base = stored(kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("__row"), F.monotonically_increasing_id().alias("__uid")))
-    base = base.withColumn("__pid", F.shiftright("__uid", 33)).withColumn("__idx", F.col("__uid").bitwiseAND((1 << 33) - 1))
+    # what follows moves the numbers of the rows alone; the rows themselves are joined to their places once
+    places = base.select(
+        "__uid", F.shiftright("__uid", 33).alias("__pid"), F.col("__uid").bitwiseAND((1 << 33) - 1).alias("__idx")
+    )
     # one row for each task that wrote the table
-    parts = base.groupBy("__pid").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+    parts = places.groupBy("__pid").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block_rows))
     parts = stored(parts.withColumn("first", F.sum("blocks").over(Window.orderBy("__pid")) - F.col("blocks")))
     rows, n_blocks = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     blocks = parts.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("j"), "first", "rows").select(
         (F.col("first") + F.col("j")).alias("block"), F.least(F.lit(block_rows), F.col("rows") - F.col("j") * block_rows).alias("n")
     )
     matrix = communication_matrix(blocks, int(n_blocks), int(rows), n_shards, seed)
-    numbered = base.join(parts.select("__pid", "first"), "__pid").select(
-        "__row", "__uid", (F.col("first") + F.floor(F.col("__idx") / block_rows)).alias("block")
+    numbered = places.join(parts.select("__pid", "first"), "__pid").select(
+        "__uid", (F.col("first") + F.floor(F.col("__idx") / block_rows)).alias("block")
     )
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "__uid"), "__uid")
     placed = numbered.withColumn("__rn", F.row_number().over(local)).join(
@@ -192,14 +195,14 @@ def uniform_shards(df: DataFrame, n_shards: int, seed: int = 11, block_rows: int
         "block",
     )
     dealt = placed.select(
-        "__row",
         "__uid",
         F.size(F.filter("ends", lambda e: e < F.col("__rn"))).cast("int").alias("shard"),
     )
     base_size, larger = divmod(int(rows), n_shards)
     dealt = dealt.withColumn("__size", F.lit(base_size).cast("bigint") + (F.col("shard") < larger).cast("bigint"))
     order = [F.xxhash64(F.lit(seed), F.lit("shard"), "__uid"), F.col("__uid")]
-    return dealt_rank(dealt, ["shard"], "__size", order, "slot", block_rows).select("__row.*", "shard", "slot")
+    ranked = dealt_rank(dealt, ["shard"], "__size", order, "slot", block_rows).select("__uid", "shard", "slot")
+    return base.join(ranked.hint("merge"), "__uid").select("__row.*", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
