@@ -9,8 +9,8 @@ Documents are laid down in chunks of bounded size as local word numbers, buckete
 distinct pairs, go with their training counts to buckets of the hash, where the counts of all chunks are added up; the
 totals are a table partitioned by bucket, and return to the chunks in the order in which they were sent.  A token is then scored inside
 its chunk: pair, else history, else word, else unknown.  Pairs are dealt by history, so that a bucket holds all of a
-history and can add up what backing off needs; histories with over 1/``HOT`` of all tokens, at most
-``HOT`` of them, are dealt by pair and their sums completed afterwards.
+history and can add up what backing off needs; histories that would fill a bucket alone are dealt by pair and
+their sums completed afterwards.
 
 Words are compared by 64-bit hashes, pairs by their history and bucket and 40 further bits.  Null texts are empty and consist of their end.  Learning reads the documents
 whose crc32 of the id modulo 5 is not 1; without any, nothing is known and the unknown class has all mass.  An
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from cueline.llm.common import remainder, stored, utf8
 from cueline.session import shared_folder
 
-#: Tokens in a chunk, entries of all chunks in a bucket, and the share of the tokens that makes a history hot.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 800_000, 1_000_000, 10_000
+#: Tokens in a chunk, tokens for each bucket, and how many histories can be hot: those with more tokens than a bucket
+#: is meant for, and more than one in ``HOT`` of all.
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 1_600_000, 1_000_000, 100_000
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Hashes of the marks before and behind a document; the start is a history only.
@@ -231,12 +232,12 @@ class Chunk:
         """Hashes and training counts of all histories, by local number."""
         return np.append(self.words, START), np.append(self.counts, started)
 
-    def deal(self, buckets: int, tokens: int, started: int):
+    def deal(self, buckets: int, full: int, started: int):
         """Order of the pairs by bucket, history and hash; where they belong."""
         names, counts = self.histories(started)
         names_v = names[self.v]
         pairs = pair_hash(names_v, self.words[self.w])
-        hot = counts[self.v] > max(1, tokens // HOT)
+        hot = counts[self.v] > full
         shift = np.uint64(64 - buckets.bit_length() + 1) if buckets > 1 else None
         key = np.where(hot, pairs, pair_hash(names_v, np.uint64(7) + np.zeros_like(names_v)))
         bucket = (key >> shift).astype(np.int64) if shift is not None else np.zeros(len(key), dtype=np.int64)
@@ -297,6 +298,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     )
     tokens, types = words_back.agg(F.sum("tokens"), F.sum("types")).first()
     model = Words(int(tokens), _ranks(words_back))
+    full = max(bucket_tokens, model.tokens // HOT)
     started = spark.table(name).select(F.explode("ids").alias("d")).where(remainder(F.col("d"), 5) != 1).count()
     located = chunks.join(_by_chunk(words_back, "totals"), F.col("chunk") == F.col("of")).drop("of")
 
@@ -306,7 +308,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row, [x["totals"] for x in row["parts"]])
-                order, bucket, v, pairs, hot = chunk.deal(buckets, model.tokens, started)
+                order, bucket, v, pairs, hot = chunk.deal(buckets, full, started)
                 own, counts = chunk.own[order], chunk.counts[chunk.w][order]
                 starts = _runs(bucket)
                 for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
@@ -344,7 +346,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
         .groupBy("h.v")
         .agg(*[F.sum(F.col("h.few")[r]).alias(f"few{r}") for r in range(TRUSTED)], F.sum("h.mass").alias("mass"))
         .collect()
-    )  # at most HOT histories hold over 1/HOT of the tokens each
+    )  # at most HOT histories have over one in HOT of the tokens
     hot_sums = {r["v"]: ([r[f"few{k}"] for k in range(TRUSTED)], r["mass"]) for r in hot_rows}
     ready = located.join(
         _by_chunk(pairs_back, "totals", "few", "levels", "mass").withColumnsRenamed({"of": "pof", "parts": "pair_parts"}), F.col("chunk") == F.col("pof")
@@ -354,7 +356,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield _evaluated(row, model, int(types), d, hot_sums, buckets, started)
+                yield _evaluated(row, model, int(types), d, hot_sums, buckets, full, started)
 
     return ready.mapInArrow(evaluate, schema)
 
@@ -391,9 +393,11 @@ def backed_off(few: np.ndarray, mass: np.ndarray, counts: np.ndarray, d: np.ndar
     return total, np.where(known, freed / np.maximum(total, 1) / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-def _evaluated(row: dict, model: Words, types: int, d: np.ndarray, hot_sums: dict, buckets: int, started: int) -> pa.RecordBatch:
+def _evaluated(
+    row: dict, model: Words, types: int, d: np.ndarray, hot_sums: dict, buckets: int, full: int, started: int
+) -> pa.RecordBatch:
     chunk = Chunk(row, [x["totals"] for x in row["parts"]])
-    order, bucket, v, _, _ = chunk.deal(buckets, model.tokens, started)
+    order, bucket, v, _, _ = chunk.deal(buckets, full, started)
     parts = row["pair_parts"]
     totals = np.empty(len(order), dtype=np.int64)
     totals[order] = np.concatenate([unpacked(x["totals"], "<i8") for x in parts])
@@ -406,7 +410,7 @@ def _evaluated(row: dict, model: Words, types: int, d: np.ndarray, hot_sums: dic
     few_v, mass_v = np.zeros((len(names), TRUSTED), dtype=np.int64), np.zeros(len(names))
     few_v[local], mass_v[local] = few, mass
     signed = names.view(np.int64)
-    for place in np.flatnonzero(counts > max(1, model.tokens // HOT)).tolist():
+    for place in np.flatnonzero(counts > full).tolist():
         if int(signed[place]) in hot_sums:
             few_v[place], mass_v[place] = hot_sums[int(signed[place])]
     total_v, weight_v = backed_off(few_v, mass_v, counts, d)

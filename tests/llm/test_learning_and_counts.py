@@ -135,7 +135,7 @@ def katz_rows():
     return rows + [(500, None, None), (501, "", "x"), (None, "w1 w2", "y"), (502, " new words only ", None), (3, rows[3][1], None), (503, "W1 É é\x0bw1", None), (504, "the " * 300, "z")]
 
 
-@pytest.mark.parametrize("chunk,bucket,hot", [(800_000, 1_000_000, 10_000), (150, 200, 1000), (300, 100, 3), (1, 10_000, 20)])
+@pytest.mark.parametrize("chunk,bucket,hot", [(1_600_000, 1_000_000, 100_000), (150, 200, 1000), (300, 100, 3), (1, 30, 500)])
 def test_katz_in_any_split(spark, monkeypatch, chunk, bucket, hot):
     monkeypatch.setattr(katz, "HOT", hot)
     rows = katz_rows()
