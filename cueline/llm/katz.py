@@ -170,7 +170,7 @@ def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_pairs(batches: Iterator[pa.RecordBatch], model: Words) -> Iterator[pa.RecordBatch]:
     """One bucket: totals of the pairs, and for each history its seen pairs by count and the mass of their words."""
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
@@ -179,7 +179,7 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [unpacked(r["runs"], "<i4") for r in rows]
     pairs = np.concatenate([unpacked(r["pairs"], "<u8", PAIR_BYTES) for r in rows])
     own = np.concatenate([unpacked(r["own"], "<i4") for r in rows])
-    mass = np.concatenate([unpacked(r["p"], "<f8")[unpacked(r["codes"], "<i4")] for r in rows])
+    mass = model.p(np.concatenate([unpacked(r["counts"], "<i8") for r in rows]))
     known, at_v = np.unique(np.concatenate(histories), return_inverse=True)
     lengths = [len(h) for h in histories]
     of = np.repeat(at_v, np.concatenate(runs))
@@ -303,7 +303,7 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     located = chunks.join(_by_chunk(words_back, "totals"), F.col("chunk") == F.col("of")).drop("of")
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("bucket", pa.int64()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("histories", "runs", "hot", "pairs", "own", "p", "codes")]
+        kinds = [("bucket", pa.int64()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("histories", "runs", "hot", "pairs", "own", "counts")]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -313,7 +313,6 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
                 starts = _runs(bucket)
                 for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
                     new = _runs(v[a:b])
-                    levels, codes = np.unique(counts[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_pylist(
                         [
                             {
@@ -324,19 +323,18 @@ def katz_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
                                 "hot": packed(hot[a:b][new].astype(np.uint8)),
                                 "pairs": packed(pairs[a:b], PAIR_BYTES),
                                 "own": packed(own[a:b]),
-                                "p": packed(model.p(levels)),
-                                "codes": packed(codes.astype(np.int32)),
+                                "counts": packed(counts[a:b]),
                             }
                         ],
                         schema=pa.schema(kinds),
                     )
 
     dealt = located.mapInArrow(
-        send_pairs, "bucket bigint, chunk bigint, histories binary, runs binary, hot binary, pairs binary, own binary, p binary, codes binary"
+        send_pairs, "bucket bigint, chunk bigint, histories binary, runs binary, hot binary, pairs binary, own binary, counts binary"
     )
     pairs_back = stored(
         dealt.groupBy("bucket").applyInArrow(
-            lambda table: pa.Table.from_batches(list(_add_pairs(iter(table.to_batches()))), schema=_PAIRS_SCHEMA),
+            lambda table: pa.Table.from_batches(list(_add_pairs(iter(table.to_batches()), model)), schema=_PAIRS_SCHEMA),
             "bucket bigint, chunk bigint, totals binary, few binary, levels binary, mass binary, ranks array<bigint>, hot array<struct<v:bigint,few:array<bigint>,mass:double>>",
         )
     )
