@@ -33,21 +33,27 @@ SHINGLE, SEED, BITS = 4, 42, 4
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a UTF-8 text; a bit is set if it is set in over half the shingle hashes."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a UTF-8 text; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()  # on bytes both look at ASCII alone
     if not found:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(found)
     if len(found) <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(found) - shingle + 1)
+        return np.array([xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(found) - shingle + 1)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a UTF-8 text; a bit is set if it is set in over half the shingle hashes."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     tally = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
