@@ -2,7 +2,8 @@
 
 Documents are counted by source and exact length.  A source's target is met by whole
 passes over it, and the rest by documents chosen by length: a fixed share of each length first, then
-longer lengths down to a small window, and what is left by a bounded knapsack over the lengths.
+longer lengths down to a small window, and what is left by a bounded knapsack over the lengths.  If that stays
+short, as with few long documents, the knapsack runs over the whole rest behind the shares, and over the whole budget.
 Only the histogram of a source, with a row for each distinct length, meets in one task; the
 documents of a length are then taken in the order of a seeded hash.
 
@@ -22,8 +23,10 @@ from cueline.llm.common import dealt_rank, null_safe_join, stored, words
 #: Weights of the sources in order, repeating, and the most a source may be repeated.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words that the knapsack fits at most.
+#: Words that the longer lengths leave to the knapsack.
 WINDOW = 8192
+#: Bits that a knapsack may hold; a larger one counts in units of several words first.
+BITS = 1 << 29
 
 
 def knapsack(sizes: list[int], spare: list[int], room: int) -> dict[int, int]:
@@ -47,6 +50,37 @@ def knapsack(sizes: list[int], spare: list[int], room: int) -> dict[int, int]:
     return taken
 
 
+def subset(sizes: np.ndarray, spare: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size to take for the largest sum up to ``room``.
+
+    Exact while a bit for every sum and layer fits into ``BITS``.  Beyond, sizes are rounded up to a unit,
+    so each document taken wastes less than one; what that leaves is fitted again, in smaller units.
+    """
+    taken = np.zeros(len(sizes), dtype=np.int64)
+    while True:
+        usable = np.flatnonzero((sizes > 0) & (sizes <= room) & (spare > taken))
+        if not len(usable):
+            return taken
+        usable = usable[np.argsort(sizes[usable], kind="stable")]
+        most = np.minimum(spare[usable] - taken[usable], room // sizes[usable])
+        layers = sum(int(n).bit_length() for n in most)
+        unit = max(1, -(-room * layers // BITS))
+        units = -(-sizes[usable] // unit)
+        # lengths of as many units are one; the longest of them are taken first
+        whole, place = np.unique(units, return_inverse=True)
+        chosen = knapsack(whole.tolist(), np.bincount(place, weights=most).astype(np.int64).tolist(), room // unit)
+        if not chosen:  # with units only: a length just under the room
+            chosen = {int(units[-1]): 1}
+        for i, n, u in zip(usable[::-1], most[::-1], units[::-1], strict=True):
+            part = min(int(n), chosen.get(int(u), 0))
+            if part:
+                taken[i] += part
+                chosen[int(u)] -= part
+                room -= part * int(sizes[i])
+        if unit == 1:
+            return taken
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole passes over a source, and how many documents of each length go once more."""
     extra = np.zeros(len(sizes), dtype=np.int64)
@@ -57,7 +91,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.n
     goal = min(round(target - passes * total), total) if passes < MOST else 0
     if goal <= 0:
         return passes, extra
-    extra = np.array([int(c) * goal // total for c in counts], dtype=np.int64)
+    shares = np.array([int(c) * goal // total for c in counts], dtype=np.int64)
+    extra = shares.copy()
     left = goal - int((sizes * extra).sum())
     for i in np.argsort(-sizes, kind="stable"):
         if left <= WINDOW:
@@ -67,11 +102,14 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.n
             if more > 0:
                 extra[i] += more
                 left -= more * int(sizes[i])
-    usable = [i for i in np.argsort(sizes, kind="stable") if 0 < sizes[i] <= left and counts[i] > extra[i]]
-    place = {int(sizes[i]): i for i in usable}
-    chosen = knapsack([int(sizes[i]) for i in usable], [int(counts[i] - extra[i]) for i in usable], min(left, 4 * WINDOW))
-    for size, n in chosen.items():
-        extra[place[size]] += n
+    extra += subset(sizes, counts - extra, left)
+    for base in (shares, np.zeros_like(shares)):
+        best = int((sizes * extra).sum())
+        if best == goal:
+            break
+        other = base + subset(sizes, counts - base, goal - int((sizes * base).sum()))
+        if int((sizes * other).sum()) > best:
+            extra = other
     return passes, extra
 
 

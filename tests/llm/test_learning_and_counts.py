@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from cueline.llm import chat, katz, tokens, toxicity
+from cueline.llm import chat, katz, mixing, tokens, toxicity
 from cueline.llm.mixing import fit, knapsack, mix_documents, mixed_documents
 
 SCHEMA = "doc_id bigint, text string, source string, score double, size string, times int"
@@ -229,6 +229,36 @@ def test_fit_stays_within_counts():
         assert abs(passes * total + int((sizes * extra).sum()) - target) <= 1
 
 
+def test_few_long_documents_are_fitted():
+    passes, extra = fit(np.array([40000, 40001, 40002]), np.array([1, 1, 1]), 42000.0)
+    assert (passes, extra.tolist()) == (0, [0, 0, 1])
+    r = random.Random(15)
+    for _ in range(80):
+        sizes = np.array(sorted(r.sample(range(30000, 60000), r.randrange(3, 8))))
+        counts = np.array([r.randrange(1, 3) for _ in sizes])
+        target = int(r.random() * int((sizes * counts).sum()))
+        sums = {0}
+        for s, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+            sums = {x + s * i for x in sums for i in range(n + 1)}
+        passes, extra = fit(sizes, counts, float(target))
+        assert passes == 0 and (extra >= 0).all() and (extra <= counts).all()
+        assert int((sizes * extra).sum()) == max(x for x in sums if x <= target)
+
+
+def test_a_large_knapsack_wastes_less_than_a_unit_a_document(monkeypatch):
+    monkeypatch.setattr(mixing, "BITS", 1 << 16)
+    r = random.Random(16)
+    for _ in range(40):
+        sizes = np.array(sorted(r.sample(range(30000, 60000), r.randrange(3, 9))))
+        room = r.randrange(30000, int(sizes.sum()))
+        sums = {0}
+        for s in sizes.tolist():
+            sums |= {x + s for x in sums}
+        taken = mixing.subset(sizes, np.ones_like(sizes), room)
+        got, unit = int((sizes * taken).sum()), -(-room * len(sizes) // mixing.BITS)
+        assert (taken <= 1).all() and max(x for x in sums if x <= room) - unit * len(sizes) < got <= room
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=str.encode) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
