@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cueline.llm.chat import CHAT_SQL, chat_digest
 from cueline.llm.decontamination import contaminations
+from cueline.llm.divergence import DIVERGENCE_SQL, divergence
 from cueline.llm.exact import EXACT_SQL, exact_groups
 from cueline.llm.katz import katz_scores
 from cueline.llm.mixing import mix_documents
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _over(simhash_components, "documents"),
     "op9_katz_scores": _over(katz_scores, "documents"),
     "op10_token_counts": _over(document_tokens, "documents"),
+    "op11_source_divergence": _over(divergence, "documents"),
 }
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL, "op11_source_divergence": DIVERGENCE_SQL}
