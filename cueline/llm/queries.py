@@ -12,6 +12,7 @@ from cueline.llm.divergence import DIVERGENCE_SQL, divergence
 from cueline.llm.exact import EXACT_SQL, exact_groups
 from cueline.llm.katz import katz_scores
 from cueline.llm.mixing import mix_documents
+from cueline.llm.prefixes import PREFIX_SQL, conversation_prefixes
 from cueline.llm.quality import quality
 from cueline.llm.repeats import repeated_passages
 from cueline.llm.sharding import shard_documents
@@ -40,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": _over(document_tokens, "documents"),
     "op11_source_divergence": _over(divergence, "documents"),
     "op12_quality": _over(quality, "documents", "labels"),
+    "op13_conversation_prefixes": _over(conversation_prefixes, "conversations"),
 }
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL, "op11_source_divergence": DIVERGENCE_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op6_chat_format": CHAT_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op13_conversation_prefixes": PREFIX_SQL}
