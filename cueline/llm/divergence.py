@@ -205,28 +205,25 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     )
 
 
-def _pair_sums(key, terms, sources):
+def _pair_sums(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
     """Sums of a block for every ordered pair of the language's sources."""
-    import pandas as pd
-
-    sources = sources.sort_values("source")
-    names = sources["source"].to_numpy()
-    out = {"lang": [], "source": [], "item": [], "value": []}
-    number = terms.groupby(list(_KEY), sort=False).ngroup().to_numpy()
+    names = sources["source"].to_pylist()
+    place = {name: i for i, name in enumerate(names)}
+    number = terms.select(list(_KEY)).to_pandas().groupby(list(_KEY), sort=False).ngroup().to_numpy()
     kept = int(number.max()) + 1 if len(number) else 0
-    shares = np.repeat(sources["p0"].fillna(0).to_numpy(np.int64)[:, None], kept, axis=1)
-    place = pd.Series(np.arange(len(names)), index=names)
-    shares[place[terms["source"]].to_numpy(), number] = terms["p"].to_numpy(np.int64)
-    for i in range(len(names)):
+    least = np.array([p or 0 for p in sources["p0"].to_pylist()], dtype=np.int64)
+    shares = np.repeat(least[:, None], kept, axis=1)
+    shares[[place[s] for s in terms["source"].to_pylist()], number] = terms["p"].to_numpy()
+    left, right, values = [], [], []
+    for i, name in enumerate(names):
         others = shares[i + 1 :]
         apart = others - shares[i]
-        values = (apart * apart // (others + shares[i])).sum(axis=1)
-        for j, value in enumerate(values.tolist(), i + 1):
-            out["source"] += [names[i], names[j]]
-            out["item"] += [names[j], names[i]]
-            out["value"] += [value, value]
-    out["lang"] = [key[0]] * len(out["source"])
-    return pd.DataFrame(out)
+        left += [name] * len(others)
+        right += names[i + 1 :]
+        values += (apart * apart // (others + shares[i])).sum(axis=1).tolist()
+    lang = pa.array([key[0].as_py()] * (2 * len(values)), pa.string())
+    columns = [lang, pa.array(left + right, pa.string()), pa.array(right + left, pa.string()), pa.array(values + values, pa.int64())]
+    return pa.Table.from_arrays(columns, names=["lang", "source", "item", "value"])
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -263,7 +260,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
         shares.select("lang", "block", "source", *_KEY, "p")
         .groupBy("lang", "block")
         .cogroup(laid.groupBy("lang", "block"))
-        .applyInPandas(_pair_sums, "lang string, source string, item string, value bigint")
+        .applyInArrow(_pair_sums, "lang string, source string, item string, value bigint")
         .groupBy("lang", "source", "item")
         .agg(F.sum("value").alias("value"))
     )

@@ -19,7 +19,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -187,7 +187,7 @@ def block_nodes(entries: list[tuple[bytes, list[int], list[int]]]) -> tuple[list
     """(nodes, edges) of a block: distinct sequences in order, with code points and the ids that say exactly that.
 
     Nodes off the first and the last sequence are whole.  The edges are these two paths, each place with its own members and
-    with the children, leaves and savings of the whole nodes below it.
+    with the children, leaves and savings of the whole nodes below it, and the ids of sequences that end on the way.
     """
     names = np.frombuffer(b"".join(e[0] for e in entries), dtype=">u8").astype(np.uint64).reshape(-1, 2)
     order = np.lexsort((names[:, 1], names[:, 0]))
@@ -240,41 +240,51 @@ def block_nodes(entries: list[tuple[bytes, list[int], list[int]]]) -> tuple[list
         columns = [[c[n] if mine else 0 for n, mine in zip(path, own, strict=True)] for c in (members, children, leaves, saved)]
         first = [least[n] if mine else None for n, mine in zip(path, own, strict=True)]
         edges.append((seq, ids[0], _joined(ids), columns[0], first, *columns[1:], [0, *points]))
+    for node in key:
+        entry = tree.ending[node]
+        if 0 < entry < len(entries) - 1:  # ends on the way of the last sequence
+            seq, _, ids = entries[entry]
+            edges.append((seq, ids[0], _joined(ids), *([] for _ in _TALLIES)))
     return nodes, edges
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, n_node = to_arrow_schema(_SHARD), len(_NODE)
-    nothing = (None,) * len(schema)
+def _shards(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The nodes and edges of a sorted range, block by block."""
 
-    def rows(entries: list) -> pa.RecordBatch:
-        nodes, edges = block_nodes(entries)
-        whole = [n + nothing[n_node:] for n in nodes] + [nothing[:n_node] + e for e in edges]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*whole, strict=True), schema, strict=True)], schema=schema)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, n_node = to_arrow_schema(_SHARD), len(_NODE)
+        nothing = (None,) * len(schema)
 
-    entries: list[tuple[bytes, list[int], list[int]]] = []
-    size = 0
-    for batch in batches:
-        for seq, conv_id, points in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            grown = 1 + len(points)
-            if entries and size + grown > BLOCK:
-                yield rows(entries)
-                entries, size = [], 0
-            size += grown if not entries or entries[-1][0] != seq else 1
-            if entries and entries[-1][0] == seq:
-                entries[-1][2].append(conv_id)
-            else:
-                entries.append((seq, points, [conv_id]))
-    if entries:
-        yield rows(entries)
+        def rows(entries: list) -> pa.RecordBatch:
+            nodes, edges = block_nodes(entries)
+            whole = [n + nothing[n_node:] for n in nodes] + [nothing[:n_node] + e for e in edges]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*whole, strict=True), schema, strict=True)], schema=schema)
+
+        entries: list[tuple[bytes, list[int], list[int]]] = []
+        size = 0
+        for batch in batches:
+            for seq, conv_id, points in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                grown = 1 + len(points)
+                if entries and size + grown > block:
+                    yield rows(entries)
+                    entries, size = [], 0
+                size += grown if not entries or entries[-1][0] != seq else 1
+                if entries and entries[-1][0] == seq:
+                    entries[-1][2].append(conv_id)
+                else:
+                    entries.append((seq, points, [conv_id]))
+        if entries:
+            yield rows(entries)
+
+    return each
 
 
 class _Place:
     """A node on the path that is being merged."""
 
-    def __init__(self, depth: int, points: int, digest):
-        self.depth, self.points, self.digest = depth, points, digest
-        self.members = self.children = self.leaves = self.saved = 0
+    def __init__(self, depth: int, digest):
+        self.depth, self.digest = depth, digest
+        self.points = self.members = self.children = self.leaves = self.saved = 0
         self.least: int | None = None
         self.ended = None
 
@@ -313,12 +323,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while seq[shared * NAME : (shared + 1) * NAME] == last[shared * NAME : (shared + 1) * NAME]:
                     shared += 1
             close(shared + 1)
-            for depth in range(len(members)):
-                if depth == len(path):
-                    digest = path[-1].digest.copy() if path else hashlib.sha256()
-                    digest.update(seq[(depth - 1) * NAME : depth * NAME] if depth else b"")
-                    path.append(_Place(depth, points[depth], digest))
-                place = path[depth]
+            for depth in range(len(path), len(seq) // NAME + 1):
+                digest = path[-1].digest.copy() if path else hashlib.sha256()
+                digest.update(seq[(depth - 1) * NAME : depth * NAME] if depth else b"")
+                path.append(_Place(depth, digest))
+            for depth, place in enumerate(path[: len(members)]):
+                place.points = points[depth]
                 place.members += members[depth]
                 place.children += children[depth]
                 place.leaves += leaves[depth]
@@ -337,13 +347,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield taken()
 
 
-def prefix_nodes(whole: DataFrame) -> DataFrame:
+def prefix_nodes(whole: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each node of the trie of ``whole`` (seq, conv_id, points)."""
     dealt = whole.repartitionByRange("seq", "conv_id").sortWithinPartitions("seq", "conv_id").select("seq", "conv_id", "points")
-    found = stored(dealt.mapInArrow(_shards, _SHARD))
+    found = stored(dealt.mapInArrow(_shards(block), _SHARD))
     node = [f.name for f in _NODE]
     edges = found.where(F.col("seq").isNotNull()).select("seq", "since", "ids", *_TALLIES)
-    # two rows a block
+    # two rows a block, and those that end on the way
     merged = stored(edges.repartition(1).sortWithinPartitions("seq", "since").mapInArrow(_merge, _MERGED))
     nodes = found.where(F.col("seq").isNull()).select(*node).unionByName(merged.select(*node))
     parents = merged.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("above"))
@@ -352,10 +362,10 @@ def prefix_nodes(whole: DataFrame) -> DataFrame:
     return known.drop("parent_key").unionByName(below.withColumn("parent_conv_id", F.col("above")).select(*known.drop("parent_key").columns))
 
 
-def conversation_prefixes(turns: DataFrame) -> DataFrame:
+def conversation_prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of the prefix query: the trie of all rebuilt conversations."""
     own = stored(sequences(turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")))
-    return prefix_nodes(stored(rebuilt(own)))
+    return prefix_nodes(stored(rebuilt(own)), block)
 
 
 PREFIX_SQL = r"""
