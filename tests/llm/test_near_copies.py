@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from test_similarity import prose, roots, rows_of
 
-from cueline.llm.nearcopies import buckets
+from cueline.llm.nearcopies import buckets, prefix_pairs
 
 
 def plain_set(text):
@@ -66,3 +66,38 @@ def test_pairs_at_the_limit_share_a_bucket():
         a = r.integers(0, 1 << 64, common + 2 * own, dtype=np.uint64)
         met += bool(set(buckets(a[: common + own])) & set(buckets(np.concatenate((a[:common], a[common + own :])))))
     assert met >= n - 2
+
+
+def keyed(spark, texts):
+    """(entries, texts) with every text a root of its own."""
+    table = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "key bigint, root bigint, text binary").repartition(3)
+    return table.select("key", "root"), table.select("key", "text")
+
+
+def test_prefix_pairs_lack_no_similar_pair(spark):
+    texts = [t for _, t in copy_rows() if t and t.strip()]
+    sets = [plain_set(t) for t in texts]
+    near = {(j, i) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and plain_similarity(sets[i], sets[j]) >= 0.8}
+    found = {(r.a, r.b) for r in prefix_pairs(*keyed(spark, texts)).collect()}
+    assert len(near) > 100 and near <= found
+    # what is known to belong together is passed over
+    entries, held = keyed(spark, texts)
+    assert prefix_pairs(entries.withColumn("root", entries["root"] * 0), held).count() == 0
+
+
+def test_texts_with_much_in_common_meet_in_no_pair(spark):
+    r = random.Random(8)
+    base = prose(77, 300)
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for at in r.sample(range(300), 16):
+            own[at] = f"o{i}x{at}"
+        texts.append(" ".join(own))
+    entries, held = keyed(spark, texts)
+    assert prefix_pairs(entries, held).count() <= len(texts)
+    rows = rows_of(spark, list(enumerate(texts)))
+    kept = corpus_pipeline.simhash(spark, rows.repartition(4), "")
+    sets = [plain_set(t) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8]
+    assert kept.count() == len(set(roots(range(len(texts)), alike).values()))
