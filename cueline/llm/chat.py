@@ -130,7 +130,10 @@ def chat_digest(turns: DataFrame) -> DataFrame:
     """The digest rows of the formatting query, read back from the output."""
     spark = turns.sparkSession
     said = "\\### Assistant: </turn> ok"
-    trial = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turn = F.col("id")
+    trial = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
     output = format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(trial))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
     kept = output.select("conv_id", "formatted", "state", "valid", loss.alias("loss_text"))

@@ -233,8 +233,12 @@ def contaminations(docs: DataFrame, items: DataFrame, share: float = SHARE, over
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item; a null id stands for the text in the comparison."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    facts = keyed.select(F.col("__key").alias("doc_id"), "text")
-    leaking = contaminations(facts, items).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(leaking, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that hold no item, with the columns they came with.
+
+    A row is known by a 64-bit hash of its text, which alone decides: rows that share an id are judged apart.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    facts = keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
+    leaking = contaminations(facts, items).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaking, "key", "left_anti").select("row.*")

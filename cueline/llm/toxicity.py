@@ -7,7 +7,8 @@ weights other than zero; these alone are sent to the tasks that score, at most o
 
 A document's features are the distinct hashed words, pairs of neighbours and pairs one word apart.
 Null and empty texts have no features and get the score of the bias.  Null labels and null ids are not
-learned from; of several labels of a document the highest counts.  Without labels every score
+learned from; of several labels of a document the highest counts, and of several documents with one id that whose features have the
+smallest hash is learned from, so that the bound on documents holds.  Without labels every score
 is one half.  Columns of the input other than id and text are never read by the learner.
 """
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cueline.llm.common import remainder, utf8
 from cueline.llm.decontamination import plain_words
@@ -102,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights, bias))], names=["at", "w"])
 
     found_rows = texts.select("doc_id", "text", "toxic").mapInArrow(found, "doc_id bigint, at array<int>, toxic int")
+    found_rows = found_rows.groupBy("doc_id").agg(F.min_by("at", F.xxhash64("at")).alias("at"), F.max("toxic").alias("toxic"))
     # one task learns from the bounded sample, as the method goes example by example
     model = (
         found_rows.withColumn("h", F.xxhash64("doc_id")).repartition(1).mapInArrow(fitted, "at bigint, w double").collect()
@@ -134,7 +137,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
             scores = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
 
-    return packed.mapInArrow(score, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    return packed.mapInArrow(score, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

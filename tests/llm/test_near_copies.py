@@ -8,7 +8,9 @@ import corpus_pipeline
 import numpy as np
 from test_similarity import prose, roots, rows_of
 
+from cueline.llm.decontamination import decontaminated
 from cueline.llm.nearcopies import buckets, prefix_pairs
+from cueline.llm.toxicity import without_toxic
 
 
 def plain_set(text):
@@ -101,3 +103,15 @@ def test_texts_with_much_in_common_meet_in_no_pair(spark):
     sets = [plain_set(t) for t in texts]
     alike = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8]
     assert kept.count() == len(set(roots(range(len(texts)), alike).values()))
+
+
+def test_stages_take_columns_of_any_name_and_judge_rows_apart(spark):
+    rows = [(i, " ".join(prose(i, 40)), 1) for i in range(20)] + [(3, "what is the old name of the river by the hill\nthe amber water of the north", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a key` int").withColumnRenamed("a key", "key of `it`, x")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, rows[-1][1])], "item_id bigint, text string")
+    assert without_toxic(docs.withColumnRenamed("key of `it`, x", "a key"), labels, 1.1).columns == ["doc_id", "text", "a key"]
+    left = decontaminated(docs.withColumnRenamed("key of `it`, x", "__key"), items)
+    assert left.columns == ["doc_id", "text", "__key"]
+    # the clean row that shares an id with a leaking one stays
+    assert sorted(tuple(r) for r in left.collect()) == sorted(rows[:-1])
