@@ -36,7 +36,7 @@ GREEDY = """seg(session_id, n, op) AS (SELECT session_id, n, n FROM r WHERE n =
       FROM seg JOIN r ON r.session_id = seg.session_id AND r.n = seg.n + 1 JOIN r o ON o.session_id = seg.session_id AND o.n = seg.op)"""
 
 
-def _ordered_rows(fields: str) -> str:
+def ordered_rows(fields: str) -> str:
     return f"""r AS (SELECT session_id, row_number() OVER w AS n, text, speaker, idx, start_ms, end_ms, {fields} FROM cues
       WINDOW w AS (PARTITION BY session_id ORDER BY idx))"""
 
@@ -44,7 +44,7 @@ def _ordered_rows(fields: str) -> str:
 @query(
     "build_blocks",
     "cues",
-    f"""WITH RECURSIVE {_ordered_rows('''coalesce(start_ms - lag(end_ms) OVER w >= 3000, TRUE) AS hard, TRUE AS soft, end_ms AS hi, start_ms AS lo''')},
+    f"""WITH RECURSIVE {ordered_rows('''coalesce(start_ms - lag(end_ms) OVER w >= 3000, TRUE) AS hard, TRUE AS soft, end_ms AS hi, start_ms AS lo''')},
     {GREEDY.format(cmp='>', cap=45000)}
     SELECT session_id, printf('B%04d', row_number() OVER (PARTITION BY session_id ORDER BY op)) AS block_id, start_ms, end_ms, text, cue_idx FROM (
       SELECT r.session_id, op, min(r.start_ms) AS start_ms, arg_max(r.end_ms, r.n) AS end_ms, string_agg(r.text, '' ORDER BY r.n) AS text,
@@ -74,7 +74,7 @@ _JOIN = f"CASE WHEN regexp_matches(text, '{k.PARAGRAPH_JOINER}') THEN 0 ELSE 1 E
 @query(
     "paragraphs",
     "cues",
-    f"""WITH RECURSIVE {_ordered_rows(f'''coalesce(start_ms - lag(end_ms) OVER w >= 2500, TRUE) AS hard, TRUE AS soft,
+    f"""WITH RECURSIVE {ordered_rows(f'''coalesce(start_ms - lag(end_ms) OVER w >= 2500, TRUE) AS hard, TRUE AS soft,
         sum(length(text) + {_JOIN}) OVER w - length(text) - {_JOIN} AS hi, sum(length(text) + {_JOIN}) OVER w - length(text) AS lo, {_JOIN} AS sp''')},
     {GREEDY.format(cmp='>=', cap=700)}
     SELECT r.session_id, op AS segment, min(r.start_ms) AS start_ms, arg_max(r.end_ms, r.n) AS end_ms,
@@ -90,7 +90,7 @@ _VIS = r"length(regexp_replace(text, '\s+', '', 'g'))"
 @query(
     "notes_paragraphs",
     "cues",
-    f"""WITH RECURSIVE {_ordered_rows(f'''FALSE AS hard, length(lag(text) OVER w) > 0 AND contains('{k.PARAGRAPH_END}', right(lag(text) OVER w, 1)) AS soft,
+    f"""WITH RECURSIVE {ordered_rows(f'''FALSE AS hard, length(lag(text) OVER w) > 0 AND contains('{k.PARAGRAPH_END}', right(lag(text) OVER w, 1)) AS soft,
         sum({_VIS}) OVER w - {_VIS} AS hi, sum({_VIS}) OVER w - {_VIS} AS lo''')},
     {GREEDY.format(cmp='>=', cap=600)}
     SELECT r.session_id, op AS segment, min(r.start_ms) AS start_ms, arg_max(r.end_ms, r.n) AS end_ms, string_agg(text, ' ' ORDER BY r.n) AS text
@@ -103,7 +103,7 @@ def notes_paragraphs(spark, sf):
 @query(
     "merge_sentences",
     "cues",
-    f"""WITH RECURSIVE {_ordered_rows('''lag(text) OVER w IS NULL OR contains(lag(text) OVER w, 'que') AS hard, TRUE AS soft,
+    f"""WITH RECURSIVE {ordered_rows('''lag(text) OVER w IS NULL OR contains(lag(text) OVER w, 'que') AS hard, TRUE AS soft,
         sum(length(text) + 1) OVER w - length(text) - 1 AS hi, sum(length(text) + 1) OVER w - length(text) AS lo''').replace('FROM cues', "FROM (SELECT * REPLACE (CASE WHEN contains(text, 'que') THEN text ELSE text || 'x' END AS text) FROM cues)")},
     {GREEDY.format(cmp='>=', cap=900)},
     s AS (SELECT r.session_id, op AS segment, min(r.start_ms) AS start_ms, regexp_replace(string_agg(text, ' ' ORDER BY r.n), '^\\s+|\\s+$', '', 'g') AS text FROM seg JOIN r USING (session_id, n) GROUP BY r.session_id, op)

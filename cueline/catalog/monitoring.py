@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline import fixtures as fx
+from cueline.catalog.folding import GREEDY, ordered_rows
 from cueline.fixtures import with_views
+from cueline.operators import folds as fo
 from cueline.session import shared_folder
+from cueline.streaming import keyed
 from cueline.streaming import runs as ru
 
 QUERIES: dict = {}
@@ -68,6 +71,21 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def json_record(stamp: str) -> Column:
+    """A line of the run log."""
+    return F.to_json(
+        F.struct(
+            F.date_format("ts", stamp).alias("ts"),
+            "session",
+            "stage",
+            "tool",
+            "status",
+            F.create_map(F.lit("event"), F.col("event_id").cast("double")).alias("metrics"),
+            "detail",
+        )
+    )
+
+
 def shown(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
@@ -137,17 +155,7 @@ def close_tickets(spark, sf):
 )
 def read_run_log(spark, sf):
     """Runs written as JSON lines and read back; every tenth line is cut, each somewhere else."""
-    record = F.to_json(
-        F.struct(
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
-            "session",
-            "stage",
-            "tool",
-            "status",
-            F.create_map(F.lit("event"), F.col("event_id").cast("double")).alias("metrics"),
-            "detail",
-        )
-    )
+    record = json_record("yyyy-MM-dd'T'HH:mm:ss")
     line = F.when(F.col("event_id") % 10 == 3, F.substr(record, F.lit(1), (F.col("event_id") % 97 + 1).cast("int"))).otherwise(record)
     back = ru.parse_run_log(log(spark, sf).select(line.alias("value")))
     return back.select("session", "stage", "status", F.element_at("metrics", "event").alias("event"))
@@ -182,3 +190,38 @@ def stream_open_tickets(spark, sf):
     """Failures of one kind within the watermark open one ticket."""
     tickets = drain(ru.open_tickets(log_stream(spark, sf), "10 minutes"))
     return tickets.groupBy("source", "session", "issue", "status").agg(F.count("*").alias("tickets"))
+
+
+@query(
+    "stream_tickets",
+    "runs",
+    f"""WITH r AS (SELECT session_id::VARCHAR AS session, stage, status, event_id, epoch_ms(ts) AS ms FROM runs WHERE status IN ('fail', 'pass')),
+    t AS (SELECT stage AS source, session, 'e' || event_id % 3 AS issue, ms, (SELECT min(p.ms) FROM r p
+        WHERE p.status = 'pass' AND p.stage = f.stage AND p.session = f.session AND p.ms >= f.ms AND p.ms <= f.ms + 172800000) AS closed FROM r f WHERE status = 'fail')
+    SELECT strftime(make_timestamp(ms * 1000), {STAMP}) AS ts, source, session, issue, '' AS suggestion, CASE WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status,
+      strftime(make_timestamp(closed * 1000), {STAMP}) AS closed_ts FROM t WHERE coalesce(closed, ms + 172800000) <= (SELECT max(ms) - 600000 FROM r)""",
+)
+def stream_tickets(spark, sf):
+    """The run log as JSON lines that a stream reads; a passed run closes the failures before it, two days leave one open."""
+    path = f"{shared_folder(spark).rstrip('/')}/cueline-log-{uuid.uuid4().hex}"
+    log(spark, sf).select(json_record("yyyy-MM-dd'T'HH:mm:ss.SSS")).write.text(path)
+    return shown(drain(keyed.stream_tickets(ru.stream_runs(spark, path), "2 days")), "ts", "closed_ts")
+
+
+@query(
+    "stream_blocks",
+    "cues",
+    f"""WITH RECURSIVE {ordered_rows("""coalesce(start_ms - lag(end_ms) OVER w >= 3000, TRUE) AS hard, TRUE AS soft, end_ms AS hi, start_ms AS lo""")},
+    {GREEDY.format(cmp=">", cap=45000)},
+    b AS (SELECT r.session_id, op, min(r.start_ms) AS start_ms, arg_max(r.end_ms, r.n) AS end_ms, string_agg(r.text, '' ORDER BY r.n) AS text,
+        string_agg(r.idx::VARCHAR, ',' ORDER BY r.n) AS cue_idx FROM seg JOIN r USING (session_id, n) GROUP BY r.session_id, op),
+    n AS (SELECT *, printf('B%04d', row_number() OVER w) AS block_id, lead(start_ms) OVER w AS follows FROM b WINDOW w AS (PARTITION BY session_id ORDER BY op))
+    SELECT session_id, block_id, start_ms, end_ms, text, cue_idx FROM n WHERE least(end_ms + 3000, coalesce(follows, end_ms + 3000)) <= (SELECT max(start_ms) - 10000 FROM cues)""",
+)
+def stream_blocks(spark, sf):
+    """Blocks of a stream of cues that nothing can join any more, as one speaker's, so that they run into their length limit."""
+    schema = fx.table(spark, sf, "conversations").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    cues = fx.cues_of(rows).withColumn("speaker", F.lit("S1")).withColumn("at", F.timestamp_millis(F.col("start_ms") + 86_400_000)).withWatermark("at", "10 seconds")
+    blocks = fo.number_blocks(drain(keyed.stream_blocks(cues, 3000, 45_000)), size=90_000)
+    return blocks.select("session_id", "block_id", "start_ms", "end_ms", "text", F.array_join("cue_idx", ",").alias("cue_idx"))

@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
+    return cues_of(table(spark, sf, "conversations"))
+
+
+def cues_of(conversations: DataFrame) -> DataFrame:
     turn = F.col("turn").cast("bigint")
     start = turn * 9000 + (F.col("conv_id") * 7919 + turn * 104729) % 5000
     return (
-        table(spark, sf, "conversations")
-        .select(
+        conversations.select(
             F.col("conv_id").alias("session_id"),
             turn.alias("idx"),
             F.col("role").alias("speaker"),
