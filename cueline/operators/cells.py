@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cueline.operators.intervals import (
     BIN_MS,
-    interval_join,
     merge_intervals,
     subtract_intervals,
 )
@@ -22,6 +21,7 @@ from cueline.operators.scan import (
     CHUNK_MS,
     as_list,
     nearest_value,
+    running_max,
     running_sum,
     scan,
     time_chunk,
@@ -44,6 +44,42 @@ def _edges(df: DataFrame, by: list[str], a: str = "start_ms", b: str = "end_ms")
     return df.select(*by, F.explode(F.array(a, b)).alias("t"))
 
 
+def _openings(spans: DataFrame, keys: list[str], **kinds: Column) -> DataFrame:
+    """For each edge ``a_ms``, by how many the open spans of each kind grow there."""
+    ends = F.array(
+        F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d"))
+    )
+    stepped = spans.filter("end_ms > start_ms").select(
+        *keys, F.explode(ends).alias("__e"), *[F.coalesce(kind, F.lit(False)).alias(name) for name, kind in kinds.items()]
+    )
+    return stepped.groupBy(*keys, F.col("__e.t").alias("a_ms")).agg(
+        *[F.sum(F.when(F.col(name), F.col("__e.d")).otherwise(0)).alias(name) for name in kinds]
+    )
+
+
+def _open_counts(cells: DataFrame, keys: list[str], chunk_ms: int, *openings: DataFrame) -> DataFrame:
+    """``cells`` with the number of spans of each kind that are open in them: one sweep over the edges.
+
+    Every edge of a span is the edge of a cell.  ``openings`` have all ``keys`` or the first of them.
+    """
+    marked, kinds = cells, []
+    for stepped in openings:
+        shared = [k for k in keys if k in stepped.columns]
+        kinds += [c for c in stepped.columns if c not in (*keys, "a_ms")]
+        marked = marked.join(stepped, [*shared, "a_ms"], "left")
+    sums = {kind: running_sum(F.coalesce(F.col(kind), F.lit(0))) for kind in kinds}
+    return scan(marked, keys, ["a_ms"], time_chunk("a_ms", chunk_ms), **sums)
+
+
+def _leading_parts(spans: DataFrame, by: list[str], chunk_ms: int) -> DataFrame:
+    """Of overlapping spans the one that begins first has the time: what it leaves of the others, as disjoint spans."""
+    order = ["start_ms", "end_ms", "on"]
+    reached = scan(
+        spans.filter("end_ms > start_ms"), by, order, time_chunk("start_ms", chunk_ms), __reach=running_max(F.col("end_ms"))
+    )
+    return reached.withColumn("start_ms", F.greatest("start_ms", "__reach")).drop("__reach")
+
+
 def atomic_cells(
     blocks: DataFrame,
     strikes: DataFrame,
@@ -85,46 +121,25 @@ def atomic_cells(
         .withColumn("kind", F.lit(KEEP))
         .unionByName(silenced.withColumn("kind", F.lit(SILENT)))
     )
-    all_tracks = (
-        cuts.select(*by, "start_ms", "end_ms", F.lit("cut").alias("kind"), F.lit(False).alias("on"))
-        .unionByName(
-            gaps.select(*by, "start_ms", "end_ms", F.lit("gap").alias("kind"), F.col("keep").alias("on"))
-        )
-        .filter("end_ms > start_ms")
-    )
-    said = (
-        interval_join(grid, one_track, by, bin_ms, ("a_ms", "b_ms"))
-        .groupBy(*by, "a_ms", F.col("r_track").alias("track"))
-        .agg(
-            F.bool_or(F.col("r_kind") == KEEP).alias("has_keep"),
-            F.bool_or(F.col("r_kind") == SILENT).alias("has_silent"),
-        )
+    shared = cuts.select(*by, "start_ms", "end_ms", F.lit("cut").alias("kind"), F.lit(False).alias("on")).unionByName(
+        _leading_parts(gaps.select(*by, "start_ms", "end_ms", F.col("keep").alias("on")), by, chunk_ms).withColumn("kind", F.lit("gap"))
     )
-    shared = (
-        interval_join(grid, all_tracks, by, bin_ms, ("a_ms", "b_ms"))
-        .groupBy(*by, "a_ms")
-        .agg(
-            F.bool_or(F.col("r_kind") == "cut").alias("is_cut"),
-            F.min_by(
-                "r_on", F.when(F.col("r_kind") == "gap", F.struct("r_start_ms", "r_end_ms"))
-            ).alias("gap_keep"),
-        )
+    gap = F.col("kind") == "gap"
+    for_all = _openings(
+        shared, by, n_cut=F.col("kind") == "cut", n_open=gap & F.col("on"), n_shut=gap & ~F.col("on")
     )
+    for_one = _openings(one_track, [*by, "track"], n_keep=F.col("kind") == KEEP, n_silent=F.col("kind") == SILENT)
+    counted = _open_counts(grid.join(tracks, by), [*by, "track"], chunk_ms, for_all, for_one)
     state = (
-        F.when(F.col("is_cut"), SILENT)
-        .when(F.col("has_keep") & F.col("has_silent"), CONFLICT)
-        .when(F.col("has_keep"), KEEP)
-        .when(F.col("has_silent"), SILENT)
-        .when(F.col("gap_keep"), KEEP)
-        .when(~F.col("gap_keep"), SILENT)
+        F.when(F.col("n_cut") > 0, SILENT)
+        .when((F.col("n_keep") > 0) & (F.col("n_silent") > 0), CONFLICT)
+        .when(F.col("n_keep") > 0, KEEP)
+        .when(F.col("n_silent") > 0, SILENT)
+        .when(F.col("n_open") > 0, KEEP)
+        .when(F.col("n_shut") > 0, SILENT)
         .otherwise(DUCK)
     )
-    return (
-        grid.join(tracks, by)
-        .join(said, [*by, "a_ms", "track"], "left")
-        .join(shared, [*by, "a_ms"], "left")
-        .select(*by, "a_ms", "b_ms", "track", state.alias("state"))
-    )
+    return counted.select(*by, "a_ms", "b_ms", "track", state.alias("state"))
 
 
 def conflict_check(cells: DataFrame) -> DataFrame:
@@ -174,7 +189,7 @@ def merge_cells(
 
 
 def _recut(
-    cells: DataFrame, extra: DataFrame, by: list[str], bin_ms: int, chunk_ms: int
+    cells: DataFrame, extra: DataFrame, by: list[str], chunk_ms: int
 ) -> DataFrame:
     """Open ``extra(track, start_ms, end_ms)`` on ducked tracks, cutting cells as needed.
 
@@ -188,14 +203,15 @@ def _recut(
         ),
         1,
     )
-    old = interval_join(grid, cells, by, bin_ms, ("a_ms", "b_ms"), ("a_ms", "b_ms")).select(
-        *by, "a_ms", F.col("r_states").alias("states")
-    )
-    opened = (
-        interval_join(grid, extra, by, bin_ms, ("a_ms", "b_ms"))
-        .groupBy(*by, "a_ms")
-        .agg(F.collect_set("r_track").alias("__open"))
-    )
+    # the cell that a place lies in is the last that began, if that has not ended
+    began = cells.select(*by, "a_ms", F.struct(F.col("b_ms").alias("until"), "states").alias("__cell"))
+    placed = scan(
+        grid.join(began, [*by, "a_ms"], "left"),
+        by,
+        ["a_ms"],
+        time_chunk("a_ms", chunk_ms),
+        __in=nearest_value(F.col("__cell"), inclusive=True),
+    ).select(*by, "a_ms", "b_ms", F.when(F.col("__in.until") > F.col("a_ms"), F.col("__in.states")).alias("states"))
     blank = cells.groupBy(*by).agg(
         F.min_by(
             F.transform(
@@ -204,9 +220,11 @@ def _recut(
             "a_ms",
         ).alias("__blank")
     )
-    joined = (
-        grid.join(old, [*by, "a_ms"], "left").join(opened, [*by, "a_ms"], "left").join(blank, by)
-    )
+    tracks = blank.select(*by, F.explode("__blank.track").alias("track"))
+    opening = _openings(extra, [*by, "track"], n_open=F.lit(True))
+    swept = _open_counts(grid.join(tracks, by), [*by, "track"], chunk_ms, opening)
+    opened = swept.filter("n_open > 0").groupBy(*by, "a_ms").agg(F.collect_set("track").alias("__open"))
+    joined = placed.join(opened, [*by, "a_ms"], "left").join(blank, by)
     start = F.coalesce("states", "__blank")
     lifted = F.transform(
         start,
@@ -245,7 +263,6 @@ def activity_mask(
     hold_ms: int = 900,
     lookahead_ms: int = 50,
     hangover_ms: int = 150,
-    bin_ms: int = BIN_MS,
     chunk_ms: int = CHUNK_MS,
 ) -> DataFrame:
     """Bridge short idle runs and widen what is kept; only ducked time opens.
@@ -266,7 +283,7 @@ def activity_mask(
         F.col("a_ms").alias("start_ms"),
         F.col("b_ms").alias("end_ms"),
     ).filter("track IS NOT NULL")
-    bridged = settle(_recut(cells, held, by, bin_ms, chunk_ms), 1)
+    bridged = settle(_recut(cells, held, by, chunk_ms), 1)
 
     kept = (
         bridged.select(*by, "a_ms", "b_ms", F.explode("states").alias("s"))
@@ -280,7 +297,7 @@ def activity_mask(
         F.greatest("lo", F.col("start_ms") - lookahead_ms).alias("start_ms"),
         F.least(F.col("hi") + hangover_ms, F.col("end_ms") + hangover_ms).alias("end_ms"),
     )
-    return _recut(bridged, wide, by, bin_ms, chunk_ms)
+    return _recut(bridged, wide, by, chunk_ms)
 
 
 def _idle_summary(cells: DataFrame, by: list[str], chunk_ms: int) -> DataFrame:
@@ -339,7 +356,7 @@ def resolve_time(
         .select(*by, halves.alias("h"))
         .select(*by, "h.track", F.col("h.a").alias("start_ms"), F.col("h.b").alias("end_ms"))
     )
-    opened = _recut(cells, extra, by, bin_ms, chunk_ms).withColumnsRenamed(
+    opened = _recut(cells, extra, by, chunk_ms).withColumnsRenamed(
         {"a_ms": "start_ms", "b_ms": "end_ms"}
     )
     left = subtract_intervals(opened, drops, by, 0, bin_ms, chunk_ms, ("start_ms",))
