@@ -190,7 +190,8 @@ def _phrases(spark, sf):
 
 
 #: Frames of every phrase with the loudest tracks, and the owner after each frame.
-OWNERS = f"""ph AS (SELECT session_id, idx AS phrase_id, greatest(0, round(idx * 150 / 10.0))::BIGINT AS fa, round((idx * 150 + 700 + start_ms % 300) / 10.0)::BIGINT AS fb FROM cues),
+OWNERS = f"""ph AS (SELECT session_id, idx AS phrase_id, greatest(0, round(idx * 150 / 10.0))::BIGINT AS fa, round((idx * 150 + 700 + start_ms % 300) / 10.0)::BIGINT AS fb,
+      (idx * 150)::BIGINT AS ps, (idx * 150 + 700 + start_ms % 300)::BIGINT AS pe FROM cues),
     ce AS (SELECT p.session_id, phrase_id, f.f, f.track, f.level_db FROM ph p JOIN frames f ON f.session_id = p.session_id AND f.f >= fa AND f.f < fb),
     ra AS (SELECT session_id, phrase_id, f, count(*) AS w, list(ce.track ORDER BY level_db DESC, ce.track)[1] AS best, list(level_db ORDER BY level_db DESC)[1] AS top,
         list(level_db ORDER BY level_db DESC)[2] AS sec, bool_and(level_db < coalesce({{floor}}, '-infinity'::DOUBLE)) AS quiet, map(list(ce.track), list(level_db)) AS lv
@@ -205,9 +206,11 @@ OWNERS = f"""ph AS (SELECT session_id, idx AS phrase_id, greatest(0, round(idx *
         LATERAL (SELECT claim IS NOT NULL AND (fr.i - since + 1) * 0.01 >= least(CASE WHEN owner IS NULL THEN 0.06 ELSE 0.05 END, greatest(0.02, 0.006 * n)) - 1e-9 AS est) z),
     ow AS (SELECT session_id, phrase_id, began, max_by(owner, i) AS owner FROM st WHERE i >= 0 GROUP BY ALL),
     sp AS (SELECT *, lead(began) OVER (PARTITION BY session_id, phrase_id ORDER BY began) AS stop, row_number() OVER (PARTITION BY session_id, phrase_id ORDER BY began) - 1 AS run FROM ow),
-    ru AS (SELECT sp.session_id, sp.phrase_id, run::INT AS run, (any_value(f0) + began) * 10 AS start_ms, (any_value(f0) + coalesce(stop, any_value(n))) * 10 AS end_ms, owner,
+    rf AS (SELECT sp.session_id, sp.phrase_id, run::INT AS run, (any_value(f0) + began) * 10 AS start_ms, (any_value(f0) + coalesce(stop, any_value(n))) * 10 AS end_ms, owner,
         CASE WHEN owner IS NULL THEN CASE WHEN avg(quiet::INT) >= 0.5 THEN 'floor_gated' WHEN bool_or(NOT quiet AND top - sec >= 3.0) THEN 'unstable' ELSE 'below_margin' END END AS cause
-      FROM sp JOIN fr ON fr.session_id = sp.session_id AND fr.phrase_id = sp.phrase_id AND fr.i >= began AND fr.i < coalesce(stop, n) GROUP BY sp.session_id, sp.phrase_id, run, began, stop, owner)"""
+      FROM sp JOIN fr ON fr.session_id = sp.session_id AND fr.phrase_id = sp.phrase_id AND fr.i >= began AND fr.i < coalesce(stop, n) GROUP BY sp.session_id, sp.phrase_id, run, began, stop, owner),
+    ru AS (SELECT * FROM rf UNION ALL SELECT session_id, phrase_id, 0, ps, pe, NULL, 'below_margin' FROM ph
+      WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.session_id = ph.session_id AND rf.phrase_id = ph.phrase_id))"""
 
 
 @query(
