@@ -214,7 +214,7 @@ def duplicate_groups(spark, sf):
     "slug_match",
     None,
     """WITH n AS (SELECT DISTINCT label AS notes_id, 'f' || vec_id % 60 || '.png' AS name FROM embeddings),
-    f AS (SELECT DISTINCT doc_id % 12 AS book_id, 'f' || doc_id % 90 || '.png' AS name FROM documents WHERE doc_id % 4 < 2),
+    f AS (SELECT DISTINCT doc_id % 7 AS book_id, 'f' || doc_id % (30 + 10 * (doc_id % 7)) || '.png' AS name FROM documents),
     s AS (SELECT notes_id, count(*) AS n FROM n GROUP BY notes_id)
     SELECT notes_id, book_id, count(*) AS hits FROM n JOIN f USING (name) JOIN s USING (notes_id) GROUP BY notes_id, book_id, s.n HAVING count(*) >= greatest(1, s.n // 2)""",
 )
@@ -223,8 +223,9 @@ def slug_match(spark, sf):
     notes = fx.table(spark, sf, "embeddings").select(
         F.col("label").alias("notes_id"), F.concat(F.lit("img/f"), (v % 60).cast("string"), F.lit(".png")).alias("file")
     )
-    files = fx.table(spark, sf, "documents").filter(d % 4 < 2).select(
-        (d % 12).alias("book_id"), F.concat(F.lit("f"), (d % 90).cast("string"), F.lit(".png")).alias("file")
+    # books of 30 to 90 names: some hold half of the names of the notes
+    files = fx.table(spark, sf, "documents").select(
+        (d % 7).alias("book_id"), F.concat(F.lit("f"), (d % (30 + 10 * (d % 7))).cast("string"), F.lit(".png")).alias("file")
     )
     return fg.slug_match(notes, files)
 

@@ -250,13 +250,17 @@ def is_garbled_english(spark, sf):
 @query(
     "clean_batch",
     "cues",
-    r"""WITH t AS (SELECT session_id, idx, trim(text) AS text FROM cues)
-    SELECT session_id, idx, regexp_replace(replace(replace(text, 'tion', 'sion'), 'que', 'qe'), '[✅✸✦⏩○≅⏭]+\s*', '', 'g') AS text FROM t WHERE text <> '' AND length(text) <= 5""",
+    f"""WITH {MIXED}, m AS (SELECT session_id, idx, CASE idx % 6 WHEN 4 THEN '✅ ' || text WHEN 2 THEN CASE WHEN session_id % 3 = 0 THEN 'Thank you' || text ELSE text END ELSE text END AS text FROM mixed),
+    t AS (SELECT *, {stripped('text')} AS t FROM m)
+    SELECT session_id, idx, regexp_replace(replace(replace(text, '一一', '二'), '二三', '三'), {lit(k.MARKER_EMOJI)}, '', 'g') AS text FROM t
+    WHERE t <> '' AND NOT {prefixed('t', k.DROP_PREFIXES)} AND NOT ({count_in('text', k.IDEOGRAPH_CLASS)} / length(t) < 0.25 AND length(text) > 5)""",
 )
 def clean_batch(spark, sf):
-    """Short texts alone pass a rule made for ideographs; corrections and markers follow."""
-    cues = fx.cues(spark, sf).select("session_id", "idx", tx.strip(F.col("text")).alias("text"))
-    return cl.clean_batch(cues, [("tion", "sion"), ("que", "qe")])
+    """Texts turned into ideographs pass, some behind a marker; corrections follow. Others, and some behind a drop prefix, go."""
+    n, text = F.col("idx") % 6, F.col("text")
+    thanks = F.when(F.col("session_id") % 3 == 0, F.concat(F.lit("Thank you"), text)).otherwise(text)
+    marked = F.when(n == 4, F.concat(F.lit("✅ "), text)).when(n == 2, thanks).otherwise(text)
+    return cl.clean_batch(mixed_cues(spark, sf).withColumn("text", marked), [("一一", "二"), ("二三", "三")])
 
 
 @query("is_garbled", "doc_lines", f"WITH {MIXED_LINES} SELECT doc_id, line_no, {garbled('line')} AS garbled FROM mixed")

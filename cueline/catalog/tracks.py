@@ -100,17 +100,19 @@ def noise_floor(spark, sf):
     "room_noise",
     "frames",
     """WITH m AS (SELECT session_id, f, 10 * log10(sum(pow(10.0, level_db / 10))) AS mix_db FROM frames GROUP BY session_id, f),
-    s AS (SELECT session_id, 100 AS a, 900 AS b FROM m GROUP BY session_id UNION ALL SELECT session_id, 1200, 1500 FROM m GROUP BY session_id UNION ALL SELECT -1, 0, 500)
+    e AS (SELECT session_id, unnest(range(0, max(f) * 10 // 1500 + 1)) * 1500 AS o FROM m GROUP BY session_id),
+    s AS (SELECT session_id, o + 100 AS a, o + 900 AS b FROM e UNION ALL SELECT session_id, o + 1200, o + 1500 FROM e UNION ALL SELECT -1, 0, 500)
     SELECT s.session_id, round(coalesce(quantile_cont(m.mix_db, 0.25), -90.0), 6) AS noise_db
     FROM s LEFT JOIN m ON m.session_id = s.session_id AND m.f * 10 >= a AND m.f * 10 + 10 <= b GROUP BY s.session_id""",
 )
 def room_noise(spark, sf):
-    """Two spans of every session, and a session without frames."""
+    """Two spans of every one and a half seconds of all sessions, and a session without frames."""
     frames = fx.frames(spark, sf)
-    known = frames.select("session_id").distinct()
-    spans = known.select("session_id", F.lit(100).alias("start_ms"), F.lit(900).alias("end_ms"))
-    spans = spans.unionByName(known.select("session_id", F.lit(1200).alias("start_ms"), F.lit(1500).alias("end_ms")))
-    silent = known.limit(1).select(F.lit(-1).cast("bigint").alias("session_id"), F.lit(0).alias("start_ms"), F.lit(500).alias("end_ms"))
+    ends = frames.groupBy("session_id").agg(F.max("f").alias("last"))
+    known = ends.select("session_id", F.explode(F.expr("sequence(0L, last * 10 div 1500 * 1500, 1500L)")).alias("o"))
+    pause = F.explode(F.array(*[F.struct((F.col("o") + a).alias("start_ms"), (F.col("o") + b).alias("end_ms")) for a, b in ((100, 900), (1200, 1500))]))
+    spans = known.select("session_id", pause.alias("s")).select("session_id", "s.*")
+    silent = known.limit(1).select(F.lit(-1).cast("bigint").alias("session_id"), F.lit(0).cast("bigint").alias("start_ms"), F.lit(500).cast("bigint").alias("end_ms"))
     return tr.room_noise(frames, spans.unionByName(silent)).withColumn("noise_db", F.round("noise_db", 6))
 
 
