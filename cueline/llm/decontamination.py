@@ -6,12 +6,15 @@ holds and one threshold serves items of any length.  A passage goes to the index
 largest weights, over all items and then over some span of neighbouring items, can reach the
 threshold; block-max WAND then returns every item at or above it.
 A candidate is verified by the runs of words that passage and item share, for the
-question (all but the last line) and the answer (the last line) apart.
+question (all but the last line) and the answer (the last line) apart.  An edited item breaks runs,
+above all in a short part, so one that fails is aligned with the passage word by word, in order: it
+is held if some stretch of the passage holds ``OVERLAP`` of both parts together and ``PART`` of each.
+A question without its answer is not held.
 
 Items are dealt to shards of bounded size by a hash, with document frequencies counted over all of them;
 only a shard's items are gathered and broadcast, and there are as many shards as the items need.
-Passages are two strides long, a stride is no shorter than the longest item, so an item
-copied in one piece lies in one passage whole.
+Passages are two strides long, a stride is no shorter than the stretch in which the longest item is
+looked for, so that a copied or edited item lies in one passage whole.
 
 Null and blank items match nothing; null and blank texts hold nothing.  Equal items are found each.
 An empty table on either side gives an empty result; further columns are ignored.
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from cueline.llm.common import stored, utf8
 
-#: BM25's parameters, the share of an item's score to be retrieved, and the overlap that verifies.
-K1, B, SHARE, OVERLAP = 1.2, 0.75, 0.7, 0.8
+#: BM25's parameters, the share of an item's score to be retrieved, the overlap that verifies, and that of each part of an edited item.
+K1, B, SHARE, OVERLAP, PART = 1.2, 0.75, 0.7, 0.8, 0.5
 #: Words of a verified run, postings in a block, least stride in words, and words of items in a shard.
 RUN, BLOCK, STRIDE, SHARD_WORDS = 5, 64, 64, 1_000_000
 #: Items in a span of the first bound, and the cells that its table has at most.
@@ -44,6 +47,11 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
+def stretch(words: int) -> int:
+    """Words of the stretch in which an edited item of so many words is looked for."""
+    return words + max(RUN, words // 4)
+
+
 class Index:
     """Postings by term, in blocks with their largest weight."""
 
@@ -72,7 +80,7 @@ class Index:
             own = sum(weights.values())
             for w, x in weights.items():
                 lists.setdefault(w, []).append((number, x / own))
-        self.stride = max(STRIDE, longest)
+        self.stride = max(STRIDE, stretch(longest))
         self.terms = {w: i for i, w in enumerate(lists)}
         self.items = [np.array([n for n, _ in postings], dtype=np.int64) for postings in lists.values()]
         self.weights = [np.array([x for _, x in postings]) for postings in lists.values()]
@@ -148,6 +156,37 @@ def run_overlap(part: list[bytes], passage: list[bytes], run: int = RUN) -> floa
     return float(held.mean())
 
 
+def aligned_overlap(question: list[bytes], answer: list[bytes], passage: list[bytes], overlap: float) -> tuple[float, float]:
+    """The shares of question and answer that the best stretch of the passage holds in the item's order.
+
+    The answer's share is what it adds to the longest common subsequence of question and stretch.  Both are 0 if no
+    stretch has ``overlap`` of the item's words.
+    """
+    item = question + answer
+    masks: dict[bytes, int] = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << i
+    found = [masks.get(w, 0) for w in passage]
+    known = np.array([m > 0 for m in found])
+    wide, need = stretch(len(item)), math.ceil(overlap * len(item) - 1e-9)
+    upto = np.concatenate(([0], np.cumsum(known)))
+    there = upto[np.minimum(np.arange(len(found)) + wide, len(found))] - upto[:-1]
+    every, head = (1 << len(item)) - 1, (1 << len(question)) - 1
+    best, shares = need - 1, (0.0, 0.0)
+    for start in np.flatnonzero(known & (there >= need)).tolist():
+        # bit i of ``free`` is clear where word i of the item lengthens the subsequence
+        free = every
+        for m in found[start : start + wide]:
+            if m:
+                took = free & m
+                free = ((free + took) | (free - took)) & every
+        total = len(item) - free.bit_count()
+        if total > best:
+            asked = len(question) - (free & head).bit_count()
+            best, shares = total, (asked / len(question), (total - asked) / len(answer) if answer else 1.0)
+    return shares
+
+
 def match(index: Index, text: bytes, share: float, overlap: float) -> list[tuple[int, float, float, float]]:
     """(item, score, question overlap, answer overlap) of the items that a document holds."""
     found = plain_words(text)
@@ -171,9 +210,14 @@ def match(index: Index, text: bytes, share: float, overlap: float) -> list[tuple
             continue
         passage = found[p * stride : (p + 2) * stride]
         for item, score in index.search(own.tolist(), share):
+            if score <= best.get(item, (0.0,))[0]:
+                continue
             question, answer = (run_overlap(part, passage) for part in index.parts[item])
-            if question >= overlap and answer >= overlap and score > best.get(item, (0.0,))[0]:
-                best[item] = (score, question, answer)
+            if question < overlap or answer < overlap:
+                question, answer = aligned_overlap(*index.parts[item], passage, overlap)
+                if question < PART or answer < PART:
+                    continue
+            best[item] = (score, question, answer)
     return [(item, *x) for item, x in best.items()]
 
 

@@ -248,3 +248,46 @@ def test_overlap_counts_words_in_shared_runs():
     assert d.run_overlap(part, part[:7]) == 0.7
     assert d.run_overlap(part, part[::-1]) == 0
     assert d.run_overlap([], part) == 1
+
+
+def test_edited_items_are_found_at_every_position():
+    items = [(i, " ".join(prose(i, 18 + i)) + (f"\nthe answer is a{i} b{i} c{i} d{i}" if i % 2 else "")) for i in range(12)]
+    index = index_of(items)
+    fill = " ".join(prose(5000, 150))
+    for i, text in items:
+        words = text.replace("\n", " \n ").split(" ")
+        for at in (k for k, w in enumerate(words) if w != "\n"):
+            for edits in (1, 2, 3):
+                edited = list(words)
+                for k in range(edits):
+                    place = (at + 5 * k) % len(words)
+                    if words[place] != "\n":
+                        edited[place] = ("zz", "", words[place] + " zz")[(at + k) % 3]
+                found = d.match(index, f"{fill} {' '.join(edited)} {fill}".encode(), d.SHARE, d.OVERLAP)
+                assert [index.ids[m[0]] for m in found] == [i], (i, at, edits)
+    asked = items[11][1].rpartition("\n")[0]
+    assert d.match(index, f"{fill} {asked} {fill}".encode(), d.SHARE, d.OVERLAP) == []  # without its answer
+    assert d.match(index, " ".join(reversed(items[6][1].split())).encode(), d.SHARE, d.OVERLAP) == []
+
+
+def test_alignment_is_that_of_the_longest_common_subsequence():
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = row
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(300):
+        item = [b"%d" % r.randrange(12) for _ in range(r.randrange(2, 16))]
+        cut = r.randrange(1, len(item) + 1)
+        passage = [w if r.random() < 0.9 else b"x" for _ in range(3) for w in [*item, b"y", b"z"]]
+        question, answer = d.aligned_overlap(item[:cut], item[cut:], passage, 0.8)
+        wide = d.stretch(len(item))
+        most = max(longest(item, passage[s : s + wide]) for s in range(len(passage)))
+        held = question * cut + (answer * (len(item) - cut))
+        assert round(held) == (most if most >= 0.8 * len(item) - 1e-9 else 0)
+        assert question <= 1 and answer <= 1
