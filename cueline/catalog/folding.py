@@ -12,6 +12,7 @@ from cueline.functions import constants as k
 from cueline.functions import text as tx
 from cueline.operators import figures as fg
 from cueline.operators import folds as fo
+from cueline.operators import monotone as mo
 from cueline.operators import speakers as sp
 from cueline.operators.tracks import noise_floor
 from cueline.session import cut_lineage
@@ -477,4 +478,4 @@ def enforce_monotonic(spark, sf):
         "start_ms",
         (F.col("start_ms") + n % 2500 + 300).alias("end_ms"),
     )
-    return fo.enforce_monotonic(segments).select("session_id", "seq", "start_ms", "end_ms")
+    return mo.enforce_monotonic(segments).select("session_id", "seq", "start_ms", "end_ms")
