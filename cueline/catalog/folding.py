@@ -351,6 +351,33 @@ def migrate_unchanged(spark, sf):
     return migrate_marks(spark, sf).select("session_id", "speaker", "block_id", "keep")
 
 
+@query(
+    "migrate_marks_across_speakers",
+    "blocks",
+    """WITH n AS (SELECT *, CASE WHEN idx % 7 = 3 THEN 'Z' ELSE speaker END AS who FROM blocks),
+    lost AS (SELECT DISTINCT o.session_id, o.context, o.at, o.size, o.strike FROM (
+        SELECT session_id, speaker, idx, substr(text, 1, 17) AS context, 0 AS at, least(5, length(text)) AS size, true AS strike FROM blocks WHERE text <> ''
+        UNION ALL SELECT session_id, speaker, idx, text, 0, length(text), false FROM blocks WHERE NOT keep_old AND text <> '') o WHERE o.idx % 7 = 3),
+    places AS (SELECT l.session_id, l.context, l.at, l.size, l.strike, min({'seq': n.idx, 'p': strpos(n.text, l.context)}) AS f FROM lost l JOIN n
+        ON n.session_id = l.session_id AND CASE WHEN length(l.context) >= 8 THEN strpos(n.text, l.context) > 0 ELSE n.text = l.context END GROUP BY ALL),
+    unticked AS (SELECT session_id, f.seq AS idx, sum(size) AS n FROM places WHERE NOT strike GROUP BY ALL)
+    SELECT n.session_id, n.who AS speaker, n.block_id, n.text, n.idx % 7 <> 3 OR p.idx IS NOT NULL AS struck,
+        CASE WHEN n.idx % 7 <> 3 THEN n.keep_old ELSE true END AND coalesce(u.n / length(n.text) < 0.6, true) AS keep
+    FROM n LEFT JOIN unticked u ON u.session_id = n.session_id AND u.idx = n.idx
+    LEFT JOIN (SELECT DISTINCT session_id, f.seq AS idx FROM places WHERE strike) p ON p.session_id = n.session_id AND p.idx = n.idx""",
+)
+def migrate_across(spark, sf):
+    """Every seventh block has another speaker in the new version; its marks go with its text."""
+    blocks = fx.blocks(spark, sf)
+    marked = F.concat(F.lit("~~"), F.substring("text", 1, 5), F.lit("~~"), F.substring("text", 6, 2**31 - 1))
+    old = blocks.select("session_id", "speaker", F.col("idx").alias("seq"), F.col("keep_old").alias("keep"), marked.alias("raw"))
+    who = F.when(F.col("idx") % 7 == 3, F.lit("Z")).otherwise(F.col("speaker"))
+    new = blocks.select("session_id", who.alias("speaker"), F.col("idx").alias("seq"), "block_id", "text")
+    out = fo.migrate_marks(old, new, across="session_id")
+    plain = F.replace("raw", F.lit("~~"), F.lit(""))
+    return out.select("session_id", "speaker", "block_id", plain.alias("text"), (F.col("strikes") > 0).alias("struck"), "keep")
+
+
 @query(
     "attach_speakers_by_text",
     "cues",
