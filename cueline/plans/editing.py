@@ -135,27 +135,50 @@ def transcript_chunks(cues: DataFrame, by: str | Sequence[str] = "session_id", s
     )
 
 
+def _least_pieces(text: Column, windows: Column, piece: int, gram: int) -> Column:
+    """The piece of least hash in each of the first ``windows`` stretches of ``gram`` characters: ``(h, i)``, ``i`` from 1."""
+    ways = gram - piece + 1
+    hashed = F.transform(
+        F.sequence(F.lit(1), windows + ways - 1),
+        lambda i: F.struct(F.xxhash64(F.substring(text, i, F.lit(piece))).alias("h"), i.alias("i")),
+    )
+    # bound to a lambda's variable, the hashes are made once and not for every stretch
+    least = F.transform(F.array(hashed), lambda hs: F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice(hs, i, ways))))
+    return F.array_distinct(least[0])
+
+
 def not_in_transcript(
-    texts: DataFrame, cues: DataFrame, by: Sequence[str], ident: Sequence[str], gram: int = 24, size: int = 4096
+    texts: DataFrame, cues: DataFrame, by: Sequence[str], ident: Sequence[str], gram: int = 24, size: int = 4096, piece: int = 12
 ) -> DataFrame:
     """Those of ``texts(flat)`` that stand nowhere in their transcript, whatever their length.
 
-    The opening characters find the places where a text may begin; the text is then compared with the
-    transcript chunk by chunk.
+    Of every ``gram`` characters of the transcript the piece of least hash is kept, about two in ``gram - piece + 2`` positions;
+    that of a text's opening stands at the same place where the text does.  A text shorter than ``gram`` is looked
+    for at every position.  The places found are then compared chunk by chunk.
     """
     by, ident = list(by), list(ident)
-    wanted = texts.filter("flat <> ''").withColumn("g", F.substring("flat", 1, gram))
+    wanted = texts.filter("flat <> ''")
+    long = F.length("flat") >= gram
     chunks = cut_lineage(transcript_chunks(cues, by, size))
     follow = chunks.select(*by, (F.col("chunk") - 1).alias("chunk"), F.substring("flat", 1, gram - 1).alias("next"))
-    reach = F.concat("flat", F.coalesce("next", F.lit("")))
-    sizes = wanted.select(*by, F.length("g").alias("n")).distinct()
-    openings = (
-        chunks.join(follow, [*by, "chunk"], "left")
-        .join(sizes, by)
-        .select(*by, "chunk", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("flat")), lambda i: F.substring(reach, i, F.col("n")))).alias("p", "g"))
-        .select(*by, (F.col("chunk") * size + F.col("p")).alias("at"), "g")
-    )
-    begun = wanted.join(openings, [*by, "g"]).select(*ident, "flat", "at")
+    reaching = chunks.join(follow, [*by, "chunk"], "left").select(
+        *by, (F.col("chunk") * size).alias("first"), F.length("flat").alias("own"), F.concat("flat", F.coalesce("next", F.lit(""))).alias("reach")
+    )
+    windows = F.least("own", F.length("reach") - gram + 1)
+    kept = reaching.filter(windows > 0).select(*by, "first", F.explode(_least_pieces(F.col("reach"), windows, piece, gram)).alias("x"))
+    opening = _least_pieces(F.col("flat"), F.lit(1), piece, gram)[0]
+    begun_long = (
+        wanted.filter(long)
+        .select(*by, *[c for c in ident if c not in by], "flat", opening.alias("o"))
+        .withColumn("h", F.col("o.h"))
+        .join(kept.select(*by, F.col("x.h").alias("h"), (F.col("first") + F.col("x.i")).alias("found")).distinct(), [*by, "h"])
+        .select(*ident, "flat", (F.col("found") - F.col("o.i")).alias("at"))
+    )
+    short = wanted.filter(~long).withColumn("n", F.length("flat")).withColumn("h", F.xxhash64("flat"))
+    every = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.xxhash64(F.substring(F.col("reach"), i, F.col("n"))))
+    openings = reaching.join(short.select(*by, "n").distinct(), by).select(*by, "first", "n", F.posexplode(every).alias("p", "h"))
+    begun_short = short.join(openings, [*by, "n", "h"]).select(*ident, "flat", (F.col("first") + F.col("p")).alias("at"))
+    begun = begun_long.filter("at >= 0").unionByName(begun_short)
     spans = begun.select(
         *ident, "at", "flat", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("flat") - 1) / size))).alias("chunk")
     )
