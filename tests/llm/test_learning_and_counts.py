@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 from cueline.llm import chat, katz, mixing, tokens, toxicity
 from cueline.llm.mixing import fit, knapsack, mix_documents, mixed_documents
@@ -68,6 +69,65 @@ def test_toxicity_of_messy_rows(spark):
     assert {r.score for r in kept.collect()} == {0.5}
 
 
+def plain_ftrl(docs, labels):
+    """Scores by FTRL-proximal over dictionaries, one number at a time."""
+    top, mask = 1 << 64, (1 << 64) - 1
+    kinds = [int(k) for k in toxicity.KINDS]
+
+    def coordinates(text):
+        found = re.findall("[a-z0-9]+", text.lower())
+        h = [xxhash.xxh64_intdigest(w) for w in found]
+        out = {(x * kinds[0] & mask) >> 44 for x in h}
+        for gap in (1, 2):
+            out |= {((x * kinds[gap] + (y ^ (y >> 29))) * kinds[0] & mask) >> 44 for x, y in zip(h, h[gap:])}
+        return sorted(out)
+
+    def turn(i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+        return (h - top if h >> 63 else h), i
+
+    known = sorted((i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in docs), key=turn)
+    z, n, z0, n0 = defaultdict(float), defaultdict(float), 0.0, 0.0
+    positive = sum(labels[i] for i in known)
+    heavier = math.sqrt(max(1.0, (len(known) - positive) / max(1, positive)))
+
+    def weight(k):
+        if abs(z[k]) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    def bias():
+        return -z0 / ((toxicity.BETA + math.sqrt(n0)) / toxicity.ALPHA)
+
+    def score(own):
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(map(weight, own)) + bias()))))
+
+    for _ in range(toxicity.ROUNDS):
+        for i in known:
+            own = coordinates(docs[i])
+            g = (score(own) - labels[i]) * (heavier if labels[i] else 1.0)
+            before = {k: weight(k) for k in own}
+            for k in own:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * before[k]
+                n[k] += g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / toxicity.ALPHA * bias()
+            n0 += g * g
+    return {i: score(coordinates(t)) for i, t in docs.items()}
+
+
+def test_toxicity_is_that_of_a_plain_loop(spark):
+    r = random.Random(6)
+    docs = {i: " ".join(prose(i, 30, 60) + (["Vile", r.choice("xyz"), "rot!"] if i % 3 == 0 else [])) for i in range(240)} | {900: ""}
+    labels = {i: int((i % 3 == 0) != (r.random() < 0.05)) for i in range(200)}
+    table = spark.createDataFrame([(i, 0, t) for i, t in labels.items()], "doc_id bigint, quality int, toxic int")
+    found = toxicity.toxicity(rows_of(spark, [(i, t, None) for i, t in docs.items()]), table).collect()
+    want = plain_ftrl(docs, labels)
+    assert {r.doc_id for r in found} == set(want)
+    assert max(want.values()) > 0.7 > 0.3 > min(want.values())
+    for row in found:
+        assert row.score == pytest.approx(want[row.doc_id], abs=1e-6)
+
+
 def test_labels_that_are_held_out_teach_nothing(spark):
     docs = rows_of(spark, [(i, " ".join(prose(i)), None) for i in range(60)])
     scores = []
