@@ -89,9 +89,11 @@ _W = {"rms_db": 0.35, "f0_p75": 0.35, "f0_range": 0.10, "rate": 0.20}
 SCORED = f"""{FEATURES},
     st AS (SELECT session_id, speaker, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _KEYS)}
            FROM feat GROUP BY session_id, speaker),
-    zs AS (SELECT feat.*, {', '.join(f"round(coalesce(greatest(-3.0, least(3.0, CASE WHEN {c} IS NULL THEN NULL ELSE ({c} - m_{c}) / CASE WHEN s_{c} < 1e-9 THEN 1.0 ELSE s_{c} END END)) , 0.0) * ({c} IS NOT NULL)::INT, 3) AS z_{c}" for c in _KEYS)}
+    zs AS (SELECT feat.*, {', '.join(f"round_even(coalesce(greatest(-3.0, least(3.0, CASE WHEN {c} IS NULL THEN NULL ELSE ({c} - m_{c}) / CASE WHEN s_{c} < 1e-9 THEN 1.0 ELSE s_{c} END END)) , 0.0) * ({c} IS NOT NULL)::INT, 3) AS z_{c}" for c in _KEYS)}
            FROM feat JOIN st USING (session_id, speaker)),
-    ex AS (SELECT *, round(greatest(0.0, least(100.0, 50 + 18 * ({' + '.join(f'z_{c} * {w}' for c, w in _W.items())}))), 1) AS excitement FROM zs)"""
+    -- in hundred thousandths, so that halves are halves; they go to the even tenth
+    hs AS (SELECT *, greatest(0, least(10000000, 5000000 + 18 * ({' + '.join(f'round(z_{c} * 1000)::BIGINT * {round(w * 100)}' for c, w in _W.items())}))) AS h FROM zs),
+    ex AS (SELECT * EXCLUDE (h), (h // 10000 + CASE WHEN h % 10000 > 5000 OR h % 10000 = 5000 AND h // 10000 % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 10 AS excitement FROM hs)"""
 
 
 def scored(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,12 +86,13 @@ def excitement(
         return F.bround(F.when(value.isNull(), 0.0).otherwise(clipped), 3)
 
     scored = joined.select(*df.columns, *[z(c).alias(f"z_{c}") for c in weights])
-    total = sum((F.col(f"z_{c}") * w for c, w in weights.items()), F.lit(0.0))
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + 18 * F.col("__t")))
+    # in decimals, so that halves are halves and not left to rounding noise
+    total = sum((F.col(f"z_{c}").cast("decimal(6,3)") * F.lit(Decimal(str(w))) for c, w in weights.items()), F.lit(Decimal(0)))
+    clipped = F.greatest(F.lit(Decimal(0)), F.least(F.lit(Decimal(100)), 50 + 18 * F.col("__t")))
     return (
         scored.withColumn("__t", total)
-        .withColumn("combined_z", F.bround("__t", 3))
-        .withColumn("excitement", F.bround(clipped, 1))
+        .withColumn("combined_z", F.bround("__t", 3).cast("double"))
+        .withColumn("excitement", F.bround(clipped, 1).cast("double"))
         .drop("__t")
     )
 
