@@ -195,7 +195,7 @@ def stream_open_tickets(spark, sf):
 @query(
     "stream_tickets",
     "runs",
-    f"""WITH r AS (SELECT session_id::VARCHAR AS session, stage, status, event_id, epoch_ms(ts) AS ms FROM runs WHERE status IN ('fail', 'pass')),
+    f"""WITH r AS (SELECT session_id::VARCHAR AS session, stage, status, event_id, epoch_us(ts) // 1000 AS ms FROM runs WHERE status IN ('fail', 'pass')),
     t AS (SELECT stage AS source, session, 'e' || event_id % 3 AS issue, ms, (SELECT min(p.ms) FROM r p
         WHERE p.status = 'pass' AND p.stage = f.stage AND p.session = f.session AND p.ms >= f.ms AND p.ms <= f.ms + 172800000) AS closed FROM r f WHERE status = 'fail')
     SELECT strftime(make_timestamp(ms * 1000), {STAMP}) AS ts, source, session, issue, '' AS suggestion, CASE WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status,
