@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.operators.scan import CHUNK_ROWS, as_list, running_count, running_max, scan, time_chunk
-from cueline.operators.segments import _starts, _whole_groups
+from cueline.operators.segments import _starts, _whole_groups, dealt
 from cueline.session import settle
 
 #: Times before and after all others; in a rule's result, the end that came in.
@@ -185,9 +185,6 @@ def enforce_monotonic(
                 starts += moved
             yield pdf.iloc[at][[*by, "__pos"]].assign(__start=starts)
 
-    def dealt(df: DataFrame, group: list[str], *more: str) -> DataFrame:
-        return df.repartition(*group).sortWithinPartitions(*group, *more)
-
     head = [*keys, T.StructField("__block", long)]
     summary = dealt(narrow, block, "__pos").mapInPandas(
         summarize, T.StructType([*head, T.StructField("rules", T.ArrayType(T.ArrayType(long)))])

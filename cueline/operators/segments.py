@@ -78,6 +78,15 @@ def _whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[
         yield rest
 
 
+def dealt(df: DataFrame, group: Sequence[str], *more: str) -> DataFrame:
+    """The rows with all of a group in one partition, sorted by the group and ``more``.
+
+    By a hash of the group, not by its columns: behind a join on the same columns Spark drops the exchange, and when
+    that join turns out small enough to broadcast, its rows are read where they lie and the groups are torn.
+    """
+    return df.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, *more)
+
+
 def _transfer(rows: dict, cap: float, inclusive: bool):
     """Thresholds and the segment open at the end, for each way to come in."""
     size = len(rows["pos"])
@@ -153,9 +162,6 @@ def capped_segments(
     keys = [ready.schema[c] for c in by]
     block = [*by, "__block"]
 
-    def sorted_by(df: DataFrame, group: list[str], *more: str) -> DataFrame:
-        return df.repartition(*group).sortWithinPartitions(*group, *more)
-
     def summarize(batches):
         for pdf in _whole_groups(batches, block):
             data = _arrays(pdf)
@@ -179,7 +185,7 @@ def capped_segments(
         ]
     )
     narrow = ready.select(*block, "__pos", "__hard", "__soft", "__high", "__low")
-    summary = sorted_by(narrow, block, "__pos").mapInPandas(summarize, summary_type)
+    summary = dealt(narrow, block, "__pos").mapInPandas(summarize, summary_type)
 
     def chain(batches):
         low, segment, before = 0.0, 0, None
@@ -204,7 +210,7 @@ def capped_segments(
             T.StructField("__seg_in", T.LongType()),
         ]
     )
-    carried = sorted_by(summary, by, "__block").mapInPandas(chain, carry_type)
+    carried = dealt(summary, by, "__block").mapInPandas(chain, carry_type)
 
     def replay(batches):
         low, segment, before = 0.0, 0, None
@@ -231,5 +237,5 @@ def capped_segments(
     segment_type = T.StructType(
         [*keys, T.StructField("__pos", T.LongType()), T.StructField("segment", T.LongType())]
     )
-    segments = sorted_by(narrow.join(carried, block), block, "__pos").mapInPandas(replay, segment_type)
+    segments = dealt(narrow.join(carried, block), block, "__pos").mapInPandas(replay, segment_type)
     return ready.join(segments, [*by, "__pos"]).select(*placed.columns, "segment")

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueline.operators import monotone as mo
+from cueline.operators.scan import time_chunk
+from cueline.operators.segments import capped_segments
 
 
 def plain(segments, least):
@@ -74,3 +76,39 @@ def test_a_chain_of_overlaps_makes_few_rules(spark):
     assert len(block.rules(8_192_300)) < 12
     got = sorted((r.seq, r.start_ms, r.end_ms) for r in mo.enforce_monotonic(df).collect())
     assert got == plain([(i, i * 200, i * 200 + 500) for i in range(n)], 120)
+
+
+@pytest.fixture()
+def late_broadcasts(spark):
+    """Joins planned over shuffles and broadcast when their size is known, as on large tables; files are read one by one."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.openCostInBytes": "64m",
+    }
+    before = {c: spark.conf.get(c, None) for c in wanted}
+    for c, value in wanted.items():
+        spark.conf.set(c, value)
+    yield
+    for c, value in before.items():
+        spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+
+
+def test_blocks_stay_whole_behind_a_late_broadcast(spark, late_broadcasts):
+    rng = random.Random(8)
+    rows = {s: [(10 * q, a, b) for q, a, b in drawn(rng, 600, 6, 150, 500)] for s in range(6)}
+    df = spark.createDataFrame([(s, *x) for s in rows for x in rows[s]], "session_id int, seq int, start_ms bigint, end_ms bigint")
+    speech = df.withColumn("kind", F.lit("speech")).withColumn("clip", F.lit(False))
+    out = mo.enforce_monotonic(speech, rows=100).select("session_id", "seq", "start_ms", "end_ms")
+    assert sorted(map(tuple, out.collect())) == sorted((s, *x) for s in rows for x in plain(rows[s], 120))
+
+    cut = capped_segments(df, "session_id", ["seq"], time_chunk("seq", 100), F.lit(False), F.col("end_ms"), F.col("start_ms"), 700, rows=100)
+    want = []
+    for s in rows:
+        low = None
+        for pos, (seq, start, end) in enumerate(rows[s], 1):
+            if low is None or end - low > 700:
+                low, opened = start, pos
+            want.append((s, seq, opened))
+    assert sorted(map(tuple, cut.select("session_id", "seq", "segment").collect())) == sorted(want)
