@@ -221,7 +221,8 @@ def stream_tickets(spark, sf):
 def stream_blocks(spark, sf):
     """Blocks of a stream of cues that nothing can join any more, as one speaker's, so that they run into their length limit."""
     schema = fx.table(spark, sf, "conversations").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    # a stream reads folders: as a pattern, the name may be that of one file or of a folder of files
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/[c]onversations.parquet")
     cues = fx.cues_of(rows).withColumn("speaker", F.lit("S1")).withColumn("at", F.timestamp_millis(F.col("start_ms") + 86_400_000)).withWatermark("at", "10 seconds")
     blocks = fo.number_blocks(drain(keyed.stream_blocks(cues, 3000, 45_000)), size=90_000)
     return blocks.select("session_id", "block_id", "start_ms", "end_ms", "text", F.array_join("cue_idx", ",").alias("cue_idx"))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cueline.catalog.monitoring import stream_blocks as blocks_of_table
 from cueline.operators.folds import build_blocks, number_blocks
 from cueline.streaming.keyed import stream_blocks, stream_tickets
 
@@ -86,6 +87,17 @@ def test_blocks_of_any_cut_are_those_of_the_table(spark, tmp_path, rows):
     assert feed.run(blocks_of).count() == len(want) and feed.late >= 1
 
 
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, rows):
+    told = spark.createDataFrame([(c, t, "user", f"t{t} ") for c in range(5) for t in range(9)], "conv_id bigint, turn bigint, role string, text string")
+    told.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    told.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "file").mkdir()
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    part.rename(tmp_path / "file" / "conversations.parquet")
+    want = rows(blocks_of_table(spark, f"{tmp_path}/file"))
+    assert want and rows(blocks_of_table(spark, f"{tmp_path}/folder")) == want
+
+
 def test_tickets_are_closed_once_or_lapse(spark, tmp_path, rows):
     r = random.Random(7)
     schema = "n bigint, session string, stage string, status string, ms bigint, detail string"
