@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,7 +17,17 @@ def pattern(body: str, ignore_case: bool = False) -> str:
 
 
 def any_of(patterns: Sequence[str], ignore_case: bool = False) -> str:
-    return pattern("(?:" + "|".join(f"(?:{p})" for p in patterns) + ")", ignore_case)
+    # one look at the start for all that must begin there, not one for each at every character
+    begun = [p[1:] for p in patterns if p.startswith("^") and "|" not in p]
+    ways = [f"(?:{p})" for p in patterns if not p.startswith("^") or "|" in p]
+    if begun:
+        ways.insert(0, "^(?:" + "|".join(f"(?:{p})" for p in begun) + ")")
+    return pattern("(?:" + "|".join(ways) + ")", ignore_case)
+
+
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule(value)`` with the value made once for a row, however often the rule names it."""
+    return F.transform(F.array(value), rule)[0]
 
 
 def strip(text: Column) -> Column:
@@ -121,14 +131,18 @@ def is_garbled_english(text: Column, latin_class: str = k.LATIN_CLASS) -> Column
 
 
 def is_english_hallucination(text: Column) -> Column:
-    t = strip(text)
-    size = no_space_length(t)
-    return (
-        (t == "")
-        | F.regexp_like(t, F.lit(any_of(k.ENGLISH_HALLUCINATIONS, True)))
-        | F.regexp_like(t, F.lit(k.NON_LATIN_CLASS))
-        | ((count_class(t, "[A-Za-z]") / size < k.LATIN_RATIO_MIN) & (size > k.LATIN_RATIO_CHARS))
-    )
+    def judged(t: Column) -> Column:
+        few = bound(
+            no_space_length(t), lambda size: (count_class(t, "[A-Za-z]") / size < k.LATIN_RATIO_MIN) & (size > k.LATIN_RATIO_CHARS)
+        )
+        return (
+            (t == "")
+            | F.regexp_like(t, F.lit(k.NON_LATIN_CLASS))
+            | F.regexp_like(t, F.lit(any_of(k.ENGLISH_HALLUCINATIONS, True)))
+            | few
+        )
+
+    return bound(strip(text), judged)
 
 
 def is_italian_hallucination(text: Column) -> Column:
@@ -153,9 +167,12 @@ def is_notes_noise(text: Column, lang: str) -> Column:
 
 def is_batch_dropped(text: Column) -> Column:
     """Batch rule: a drop prefix, or mostly not ideographs and over 5 characters."""
-    t = strip(text)
-    ratio = count_class(text, k.IDEOGRAPH_CLASS) / F.length(t)
-    return (t == "") | has_prefix(t, k.DROP_PREFIXES) | ((ratio < 0.25) & (F.length(text) > 5))
+
+    def judged(whole: Column, t: Column) -> Column:
+        ratio = count_class(whole, k.IDEOGRAPH_CLASS) / F.length(t)
+        return (t == "") | has_prefix(t, k.DROP_PREFIXES) | ((ratio < 0.25) & (F.length(whole) > 5))
+
+    return bound(text, lambda whole: bound(strip(whole), lambda t: judged(whole, t)))
 
 
 def strip_marker_emoji(text: Column) -> Column:
@@ -187,14 +204,16 @@ def is_page_noise(line: Column) -> Column:
     )
 
 
-def is_screen_noise(line: Column) -> Column:
-    low = F.lower(line)
-    words = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in k.SCREEN_SUBSTRINGS])
-    return (
-        words
+def is_screen_noise(text: Column) -> Column:
+    def words(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in k.SCREEN_SUBSTRINGS])
+
+    return bound(
+        text,
+        lambda line: bound(F.lower(line), words)
         | F.regexp_like(line, F.lit(any_of(k.SCREEN_PATTERNS)))
         | (F.length(line) == 1)
-        | ((F.length(line) == 2) & ~F.regexp_like(line, F.lit(f"^{k.IDEOGRAPH_CLASS}{{2}}$")))
+        | ((F.length(line) == 2) & ~F.regexp_like(line, F.lit(f"^{k.IDEOGRAPH_CLASS}{{2}}$"))),
     )
 
 
