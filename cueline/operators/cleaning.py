@@ -108,9 +108,11 @@ def clean_batch(df: DataFrame, corrections: Sequence[tuple[str, str]], text: str
 def _repeated_phrase(t: Column, size: int) -> Column:
     """The first phrase of ``size`` characters, not all blank, said often enough in a row: (gram, n) or null."""
     again = rf"(?sU)(?=\s{{0,{size - 1}}}\S)(.{{{size}}})\1{{{k.PHRASE_REPEATS - 1},}}"
-    whole = F.regexp_extract(t, again, 0)
-    found = F.struct(F.regexp_extract(t, again, 1).alias("gram"), (F.length(whole) / size).cast("int").alias("n"))
-    return F.when(whole != "", found)
+
+    def found(whole: Column) -> Column:
+        return F.when(whole != "", F.struct(F.substring(whole, 1, size).alias("gram"), (F.length(whole) / size).cast("int").alias("n")))
+
+    return tx.bound(F.regexp_extract(t, again, 0), found)
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -127,20 +129,29 @@ def repeat_loop_reason(text: Column) -> Column:
     Back-references do the matching: the longest run of one character, else very few different characters, else
     the shortest phrase that is repeated, each at its leftmost place.
     """
-    t = tx.strip(text)
-    runs = F.transform(
-        F.regexp_extract_all(t, F.lit(rf"(?s)(.)\1{{{k.RUN_MIN - 1},}}"), F.lit(0)), lambda r: F.length(r)
-    )
-    kinds = F.size(F.array_distinct(F.split(t, "")))
-    few = (F.length(t) >= k.FEW_CHARS_LEN) & (kinds <= k.FEW_CHARS_MAX)
-    phrase = F.coalesce(*[_repeated_phrase(t, size) for size in k.PHRASE_LENGTHS])
+    run = rf"(?s)(.)\1{{{k.RUN_MIN - 1},}}"
     words = k.ARTIFACT_TEXT
-    return (
-        F.when(F.contains(t, F.lit(k.REPLACEMENT_CHAR)), F.lit(words["replacement"]))
-        .when(F.size(runs) > 0, _filled(words["run"], n=F.array_max(runs)))
-        .when(few, _filled(words["few"], k=kinds, n=F.length(t)))
-        .when(phrase.isNotNull(), _filled(words["phrase"], n=phrase["n"], gram=phrase["gram"]))
-    )
+
+    def said_again(phrase: Column) -> Column:
+        return F.when(phrase.isNotNull(), _filled(words["phrase"], n=phrase["n"], gram=phrase["gram"]))
+
+    def few_or_again(t: Column, kinds: Column) -> Column:
+        few = (F.length(t) >= k.FEW_CHARS_LEN) & (kinds <= k.FEW_CHARS_MAX)
+        phrase = F.coalesce(*[_repeated_phrase(t, size) for size in k.PHRASE_LENGTHS])
+        return F.when(few, _filled(words["few"], k=kinds, n=F.length(t))).otherwise(tx.bound(phrase, said_again))
+
+    def judged(t: Column, runs: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.split(t, "")))
+        return (
+            F.when(F.contains(t, F.lit(k.REPLACEMENT_CHAR)), F.lit(words["replacement"]))
+            .when(F.size(runs) > 0, _filled(words["run"], n=F.array_max(runs)))
+            .otherwise(tx.bound(kinds, lambda n: few_or_again(t, n)))
+        )
+
+    def lengths(t: Column) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(run), F.lit(0)), lambda r: F.length(r))
+
+    return tx.bound(tx.strip(text), lambda t: tx.bound(lengths(t), lambda runs: judged(t, runs)))
 
 
 def flag_artifacts(df: DataFrame, text: str = "text", overwrite: bool = True) -> DataFrame:
@@ -223,7 +234,8 @@ def drop_screen_noise(
     """
     by = as_list(by)
     crop = crop or k.SCREEN_CROP
-    judged = boxes.withColumn("noise", tx.is_screen_noise(F.col("text")))
+    # read for the rates and for the boxes, so the rules are tried once and their outcome kept
+    judged = settle(boxes.withColumn("noise", tx.is_screen_noise(F.col("text"))), 0)
     rate = judged.groupBy(*by).agg(F.avg(F.col("noise").cast("double")).alias("__rate"))
     central = F.col("x").between(*crop["x"]) & F.col("y").between(*crop["y"])
     kept = (

@@ -129,3 +129,15 @@ def test_clock(spark):
     assert apply(spark, [3661005, 59999], ck.ms_to_clock, "v bigint") == ["1:01:01", "0:59"]
     assert apply(spark, ["736.45", "12:16.45", "1:02:16.4"], ck.clock_to_ms) == [736450, 736450, 3736400]
     assert apply(spark, ["00:00:01.5", "01:00:00,25"], ck.srt_to_ms) == [1500, 3600250]
+
+
+@pytest.mark.parametrize(
+    "rule", [tx.is_english_hallucination, tx.is_batch_dropped, lambda c: cl.repeat_loop_reason(c).isNotNull()], ids=["en", "batch", "loop"]
+)
+def test_a_text_is_stripped_once_for_all_rules(spark, rule):
+    found = spark.createDataFrame([("x",)], "text string").filter(rule(F.col("text")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(r"^\s+|\s+$") == 1
+
+
+def test_anchored_patterns_are_joined_at_one_start():
+    assert tx.any_of(["^a$", r"\bb", "^c|d", "^e"]) == r"(?U)(?:^(?:(?:a$)|(?:e))|(?:\bb)|(?:^c|d))"
