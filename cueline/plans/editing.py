@@ -135,61 +135,83 @@ def transcript_chunks(cues: DataFrame, by: str | Sequence[str] = "session_id", s
     )
 
 
-def _least_pieces(text: Column, windows: Column, piece: int, gram: int) -> Column:
-    """The piece of least hash in each of the first ``windows`` stretches of ``gram`` characters: ``(h, i)``, ``i`` from 1."""
-    ways = gram - piece + 1
-    hashed = F.transform(
-        F.sequence(F.lit(1), windows + ways - 1),
-        lambda i: F.struct(F.xxhash64(F.substring(text, i, F.lit(piece))).alias("h"), i.alias("i")),
+#: Characters in which a position is looked for; a substring is found by counting from the start of its text.
+STRETCH = 64
+
+
+def _piece_hashes(text: Column, count: Column, length: Column, step: int = 1) -> Column:
+    """Hashes of the pieces of ``length`` characters that begin at every ``step``-th of the first ``count``: ``(p, h)``, ``p`` from 0."""
+
+    def of_stretch(first: Column) -> Column:
+        # bound to a lambda's variable, the stretch is cut once and not for every piece
+        near = F.array(F.substr(text, first + 1, F.lit(STRETCH) + length))
+        places = F.sequence(F.lit(0), F.least(F.lit(STRETCH), count - first) - 1, F.lit(step))
+        hashed = lambda own: F.transform(
+            places, lambda i: F.struct((first + i).alias("p"), F.xxhash64(F.substr(own, i + 1, length)).alias("h"))
+        )
+        return F.transform(near, hashed)[0]
+
+    firsts = F.sequence(F.lit(0), count - 1, F.lit(STRETCH))
+    return F.when(count > 0, F.flatten(F.transform(firsts, of_stretch)))
+
+
+def _spans(candidates: DataFrame, size: int) -> DataFrame:
+    """Candidates ``(at, flat)`` cut by the chunks of the transcript, each with its own characters only: ``(chunk, from, own)``."""
+    last = F.floor((F.col("at") + F.length("flat") - 1) / size)
+    first = F.floor(F.col("at") / size)
+    placed = candidates.withColumn("chunk", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("at"), F.col("chunk") * size)
+    end = F.least(F.col("at") + F.length("flat"), (F.col("chunk") + 1) * size)
+    return placed.select(
+        *[c for c in placed.columns if c != "flat"],
+        (begin - F.col("chunk") * size).cast("int").alias("from"),
+        F.substr("flat", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("own"),
     )
-    # bound to a lambda's variable, the hashes are made once and not for every stretch
-    least = F.transform(F.array(hashed), lambda hs: F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice(hs, i, ways))))
-    return F.array_distinct(least[0])
 
 
 def not_in_transcript(
-    texts: DataFrame, cues: DataFrame, by: Sequence[str], ident: Sequence[str], gram: int = 24, size: int = 4096, piece: int = 12
+    texts: DataFrame, cues: DataFrame, by: Sequence[str], ident: Sequence[str], gram: int = 24, size: int = 4096, step: int = 8
 ) -> DataFrame:
     """Those of ``texts(flat)`` that stand nowhere in their transcript, whatever their length.
 
-    Of every ``gram`` characters of the transcript the piece of least hash is kept, about two in ``gram - piece + 2`` positions;
-    that of a text's opening stands at the same place where the text does.  A text shorter than ``gram`` is looked
-    for at every position.  The places found are then compared chunk by chunk.
+    At every ``step``-th position of the transcript a piece of ``gram - step + 1`` characters is kept; wherever a text of
+    ``gram`` characters stands, one of the first ``step`` pieces of its opening is among them.  A text shorter than ``gram``
+    is looked for at every position.  The places found are then compared chunk by chunk.
     """
     by, ident = list(by), list(ident)
-    wanted = texts.filter("flat <> ''")
+    piece = F.lit(gram - step + 1)
+    # read for the long, the short and the missing ones
+    wanted = settle(texts.filter("flat <> ''"))
     long = F.length("flat") >= gram
     chunks = cut_lineage(transcript_chunks(cues, by, size))
     follow = chunks.select(*by, (F.col("chunk") - 1).alias("chunk"), F.substring("flat", 1, gram - 1).alias("next"))
     reaching = chunks.join(follow, [*by, "chunk"], "left").select(
         *by, (F.col("chunk") * size).alias("first"), F.length("flat").alias("own"), F.concat("flat", F.coalesce("next", F.lit(""))).alias("reach")
     )
-    windows = F.least("own", F.length("reach") - gram + 1)
-    kept = reaching.filter(windows > 0).select(*by, "first", F.explode(_least_pieces(F.col("reach"), windows, piece, gram)).alias("x"))
-    opening = _least_pieces(F.col("flat"), F.lit(1), piece, gram)[0]
+    # chunks begin at multiples of the step, and so do the pieces kept of the whole transcript
+    starts = F.least("own", F.length("reach") - piece + 1)
+    kept = reaching.select(*by, "first", F.explode(_piece_hashes(F.col("reach"), starts, piece, step)).alias("x"))
     begun_long = (
         wanted.filter(long)
-        .select(*by, *[c for c in ident if c not in by], "flat", opening.alias("o"))
+        .select(*by, *[c for c in ident if c not in by], "flat", F.explode(_piece_hashes(F.substring("flat", 1, gram), F.lit(step), piece)).alias("o"))
         .withColumn("h", F.col("o.h"))
-        .join(kept.select(*by, F.col("x.h").alias("h"), (F.col("first") + F.col("x.i")).alias("found")).distinct(), [*by, "h"])
-        .select(*ident, "flat", (F.col("found") - F.col("o.i")).alias("at"))
+        .join(kept.select(*by, F.col("x.h").alias("h"), (F.col("first") + F.col("x.p")).alias("found")), [*by, "h"])
+        .select(*ident, "flat", (F.col("found") - F.col("o.p")).alias("at"))
     )
     short = wanted.filter(~long).withColumn("n", F.length("flat")).withColumn("h", F.xxhash64("flat"))
-    every = F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.xxhash64(F.substring(F.col("reach"), i, F.col("n"))))
-    openings = reaching.join(short.select(*by, "n").distinct(), by).select(*by, "first", "n", F.posexplode(every).alias("p", "h"))
-    begun_short = short.join(openings, [*by, "n", "h"]).select(*ident, "flat", (F.col("first") + F.col("p")).alias("at"))
-    begun = begun_long.filter("at >= 0").unionByName(begun_short)
-    spans = begun.select(
-        *ident, "at", "flat", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.length("flat") - 1) / size))).alias("chunk")
+    openings = reaching.join(short.select(*by, "n").distinct(), by).select(
+        *by, "first", "n", F.explode(_piece_hashes(F.col("reach"), F.col("own"), F.col("n"))).alias("x")
     )
-    begin = F.greatest(F.col("at"), F.col("chunk") * size)
-    end = F.least(F.col("at") + F.length("flat"), (F.col("chunk") + 1) * size)
-    own = F.substr("flat", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int"))
-    there = F.substr("there", (begin - F.col("chunk") * size + 1).cast("int"), (end - begin).cast("int"))
+    begun_short = short.join(openings.select(*by, "first", "n", F.col("x.p").alias("p"), F.col("x.h").alias("h")), [*by, "n", "h"]).select(
+        *ident, "flat", (F.col("first") + F.col("p")).alias("at")
+    )
+    begun = begun_long.filter("at >= 0").unionByName(begun_short)
     found = (
-        spans.join(chunks.withColumnRenamed("flat", "there"), [*by, "chunk"], "left")
+        _spans(begun, size)
+        .join(chunks.withColumnRenamed("flat", "there"), [*by, "chunk"], "left")
+        .withColumn("same", F.coalesce(F.col("own") == F.substr("there", F.col("from") + 1, F.length("own")), F.lit(False)))
         .groupBy(*ident, "at")
-        .agg(F.bool_and(F.coalesce(own == there, F.lit(False))).alias("same"))
+        .agg(F.bool_and("same").alias("same"))
         .filter("same")
         .select(*ident)
         .distinct()

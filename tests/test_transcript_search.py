@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from cueline.plans.editing import not_in_transcript
+from cueline.plans.editing import _spans, not_in_transcript
 
 
 @pytest.mark.parametrize("letters,size", [("ab", 64), ("abcdé只", 64), ("abcdefghij", 4096)])
@@ -34,3 +34,12 @@ def test_not_in_transcript(spark, letters, size):
     text = spark.createDataFrame(texts, "session_id int, block_id string, flat string")
     found = not_in_transcript(text, cue, ["session_id"], ["session_id", "block_id"], size=size)
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_a_long_text_is_cut_before_it_is_compared(spark):
+    """No row of the comparison holds more of a text than one chunk of the transcript."""
+    text = spark.createDataFrame([(1, "B0", "abcdefghij" * 500, 7)], "session_id int, block_id string, flat string, at bigint")
+    pieces = _spans(text, 64).orderBy("chunk").collect()
+    assert "".join(r["own"] for r in pieces) == "abcdefghij" * 500
+    assert (pieces[0]["from"], pieces[1]["from"]) == (7, 0)
+    assert max(len(r["own"]) for r in pieces) == 64 and "flat" not in pieces[0].asDict()
