@@ -338,12 +338,14 @@ def publish_gate(
     ``stages(doc, stage, status, pending)`` holds the stages of a document,
     ``notes(doc, name, status, terms)`` its images.
     """
-    lines = settle(lines)
+    # every rule reads the lines; runs and order read the image lines, without the text they hang on
+    lines = settle(lines, 0)
+    found_images = settle(fg.image_lines(lines, by).withColumn("anchor", F.lit("")).select(by, "line_no", "chapter", "anchor_no", "anchor", "refs"), 0)
     docs = lines.select(by).distinct()
     width = residual_halfwidth(lines, by)
-    runs = fg.anchor_runs(lines, by)
+    runs = fg.anchor_runs(lines, by, found=found_images)
     stacked = fg.overstacked(runs).groupBy(by).agg(F.count("*").alias("n"))
-    backward = fg.order_inversions(lines, by).groupBy(by).agg(F.count("*").alias("n"))
+    backward = fg.order_inversions(lines, by, found=found_images).groupBy(by).agg(F.count("*").alias("n"))
     state = stages.groupBy(by).agg(
         F.count_if(F.coalesce("status", F.lit("")) != "done").alias("undone"),
         F.count_if("pending").alias("pending"),

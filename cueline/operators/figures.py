@@ -423,14 +423,18 @@ def image_lines(
 
 
 def anchor_runs(
-    lines: DataFrame, by: str | Sequence[str] = "doc_id", approved: DataFrame | None = None, **options
+    lines: DataFrame,
+    by: str | Sequence[str] = "doc_id",
+    approved: DataFrame | None = None,
+    found: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Images hanging on one line: their number and whether all are approved.
 
-    ``approved(name)`` lists file names a person grouped on purpose.
+    ``approved(name)`` lists file names a person grouped on purpose, ``found`` are the image lines where they are known.
     """
     by = as_list(by)
-    images = image_lines(lines, by, **options).select(
+    images = (image_lines(lines, by, **options) if found is None else found).select(
         *by, "chapter", "anchor_no", "anchor", F.explode("refs").alias("ref")
     )
     images = images.withColumn("name", F.element_at(F.split("ref", "/"), -1))
@@ -466,15 +470,16 @@ def order_inversions(
     by: str | Sequence[str] = "doc_id",
     pages: DataFrame | None = None,
     rows: int = CHUNK_ROWS,
+    found: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Neighbouring images of a chapter whose original order runs backwards.
 
     The order is the deck page from ``pages(name, deck_page)``, else the number
-    before the file extension; images with neither are passed over.
+    before the file extension; images with neither are passed over.  ``found`` are the image lines where they are known.
     """
     by = as_list(by)
-    images = image_lines(lines, by, **options).select(
+    images = (image_lines(lines, by, **options) if found is None else found).select(
         *by, "chapter", "line_no", F.posexplode("refs").alias("pos", "ref")
     )
     number = F.regexp_extract("ref", r"(\d{2,})\.\w+$", 1)
