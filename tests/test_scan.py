@@ -68,3 +68,16 @@ def test_values_at_ranks(spark):
     df = spark.createDataFrame([(0, float(v)) for v in [5, 1, 1, 9, 7]], "g int, v double")
     out = sc.values_at_ranks(df, "g", "v", {"third": F.floor(F.col("n") * 0.5)}, F.floor("v").cast("bigint"))
     assert out.first().third == sorted([5, 1, 1, 9, 7])[2]
+
+
+def test_rows_are_sorted_once_for_window_and_join(spark):
+    """The join with the carried totals takes the rows as the window left them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).selectExpr("id % 3 AS g", "id AS t")
+        plan = sc.scan(df, "g", ["t"], sc.time_chunk("t", 10), n=sc.running_count())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # rows, totals, and totals again by chunk for the join
+    assert "SortMergeJoin" in plan and plan.count("Sort [") == 3
