@@ -70,6 +70,12 @@ def test_values_at_ranks(spark):
     assert out.first().third == sorted([5, 1, 1, 9, 7])[2]
 
 
+def test_a_rank_outside_of_the_group_keeps_its_row(spark, rows):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 30.0), (1, 31.0), (1, 55.0)], "g int, v double")
+    out = sc.values_at_ranks(df, "g", "v", {"fixed": F.lit(2), "end": F.col("n")}, F.floor(F.col("v") / 10).cast("bigint"))
+    assert rows(out, "g", "n", "fixed", "end") == [(0, 2, None, None), (1, 3, 55.0, None)]
+
+
 def test_rows_are_sorted_once_for_window_and_join(spark):
     """The join with the carried totals takes the rows as the window left them."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
