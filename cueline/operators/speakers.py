@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.operators.cleaning import flag_artifacts
@@ -342,24 +342,23 @@ def split_at_speaker_change(
     placed = words_to_cues(labelled, cues, by, chunk_ms=chunk_ms)
     order = ["start_ms", "idx", "pos"]
     in_cue = [*by, "cue_idx"]
-    chunk = time_chunk("start_ms", chunk_ms)
-    lagged = with_neighbours(placed, in_cue, order, chunk, previous={"prev_label": "label"})
+    # the words of one cue are few, as its text is: they meet in one place, in order, and their parts stay there
+    in_order = Window.partitionBy(*in_cue).orderBy(*order)
+    lagged = placed.withColumn("prev_label", F.lag("label").over(in_order))
     opens = F.col("prev_label").isNull() | (F.col("prev_label") != F.col("label"))
-    runs = scan(lagged, in_cue, order, chunk, part=running_sum(F.when(opens, 1).otherwise(0)))
-    # the words of one part of one cue: bounded by the text of that cue
-    parts = settle(runs.groupBy(*in_cue, "part").agg(
+    part = F.sum(F.when(opens, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = lagged.withColumn("part", part).withColumn("parts", F.max("part").over(Window.partitionBy(*in_cue)))
+    # a cue with one part keeps its text, so its words are not collected
+    parts = runs.groupBy(*in_cue, "part", "parts").agg(
         F.min("start_ms").alias("first_ms"),
         F.max_by("end_ms", F.struct(*order)).alias("last_ms"),
         F.first("label").alias("label"),
         F.transform(
-            F.sort_array(F.collect_list(F.struct(*order, "word"))), lambda w: w["word"]
+            F.sort_array(F.collect_list(F.when(F.col("parts") > 1, F.struct(*order, "word")))), lambda w: w["word"]
         ).alias("__words"),
-    ))
-    sizes = parts.groupBy(*in_cue).agg(F.max("part").alias("parts"))
-    joined = (
-        cues.withColumnRenamed("speaker", "own")
-        .join(sizes.withColumnRenamed("cue_idx", "idx"), [*by, "idx"], "left")
-        .join(parts.withColumnRenamed("cue_idx", "idx"), [*by, "idx"], "left")
+    )
+    joined = cues.withColumnRenamed("speaker", "own").join(
+        parts.withColumnRenamed("cue_idx", "idx"), [*by, "idx"], "left"
     )
     many = F.coalesce(F.col("parts"), F.lit(1)) > 1
     # each part starts no earlier than the previous one ended; the chain of
@@ -382,13 +381,8 @@ def split_at_speaker_change(
     reach = F.when(
         F.col("part") == 1, F.greatest("start_ms", "last_ms")
     ).otherwise(F.greatest("first_ms", "last_ms"))
-    chained = scan(
-        bounded.withColumn("reach", reach),
-        [*by, "idx"],
-        ["part"],
-        time_chunk("part", 512),
-        prev_end=running_max(F.col("reach")),
-    )
+    earlier = Window.partitionBy(*by, "idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    chained = bounded.withColumn("prev_end", F.max(reach).over(earlier))
     start = F.when(~F.col("many") | (F.col("part") == 1), F.col("start_ms")).otherwise(
         F.greatest("first_ms", "prev_end")
     )

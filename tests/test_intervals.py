@@ -191,6 +191,35 @@ def test_split_at_speaker_change_and_glue(spark, rows):
     assert rows(out, "start_ms", "end_ms", "speaker", "text") == [(0, 400, "A", "ab"), (600, 2000, "B", "cdef")]
 
 
+def test_parts_of_cues_are_numbered_in_one_order(spark, rows, monkeypatch):
+    """F32: no scan goes over the words cue by cue; cues with several parts, one part and no word."""
+    cues = spark.createDataFrame(
+        [(0, 0, 0, 1000, "aa bb cc", "X"), (0, 1, 2000, 3000, "zz", "X"), (0, 2, 4000, 5000, "one  kept", "X")],
+        "session_id int, idx int, start_ms bigint, end_ms bigint, text string, speaker string",
+    )
+    turns = spark.createDataFrame(
+        [(0, 0, 0, 350, "A"), (0, 1, 350, 650, "B"), (0, 2, 650, 3000, "A"), (0, 3, 4000, 5000, "B")],
+        "session_id int, turn_idx int, start_ms bigint, end_ms bigint, speaker string",
+    )
+    words = spark.createDataFrame(
+        [(0, 0, 0, 0, 300, "aa"), (0, 0, 1, 400, 600, "bb"), (0, 0, 2, 640, 900, "cc"), (0, 2, 0, 4000, 4200, "one"), (0, 2, 1, 4500, 4700, "kept")],
+        "session_id int, idx int, pos int, start_ms bigint, end_ms bigint, word string",
+    )
+    scanned = []
+    for name in ("scan", "with_neighbours"):
+        found = getattr(sp, name)
+        monkeypatch.setattr(sp, name, lambda df, by, *a, found=found, **o: (scanned.extend(by), found(df, by, *a, **o))[1])
+    out = sp.split_at_speaker_change(cues, turns, words)
+    assert rows(out, "idx", "start_ms", "end_ms", "speaker", "text") == [
+        (1, 0, 300, "A", "aa"),
+        (2, 400, 600, "B", "bb"),
+        (3, 640, 1000, "A", "cc"),
+        (4, 2000, 3000, "X", "zz"),
+        (5, 4000, 5000, "B", "one  kept"),
+    ]
+    assert scanned and set(scanned) == {"session_id"}
+
+
 def test_runs_and_closing(spark, rows):
     frames = spark.createDataFrame(
         [(0, "A", f, f in (1, 2, 3, 5, 6, 12)) for f in range(15)], "session_id int, track string, f int, on boolean"
