@@ -349,13 +349,21 @@ def split_at_speaker_change(
     part = F.sum(F.when(opens, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     runs = lagged.withColumn("part", part).withColumn("parts", F.max("part").over(Window.partitionBy(*in_cue)))
     # a cue with one part keeps its text, so its words are not collected
-    parts = runs.groupBy(*in_cue, "part", "parts").agg(
-        F.min("start_ms").alias("first_ms"),
-        F.max_by("end_ms", F.struct(*order)).alias("last_ms"),
-        F.first("label").alias("label"),
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("parts") > 1, F.struct(*order, "word")))), lambda w: w["word"]
-        ).alias("__words"),
+    in_part = Window.partitionBy(*in_cue, "part").orderBy(*order)
+    whole = in_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = (
+        runs.select(
+            *in_cue,
+            "part",
+            "parts",
+            "label",
+            F.col("start_ms").alias("first_ms"),
+            F.last("end_ms").over(whole).alias("last_ms"),
+            F.collect_list(F.when(F.col("parts") > 1, F.struct("word"))).over(whole).alias("__words"),
+            F.row_number().over(in_part).alias("__no"),
+        )
+        .filter("__no = 1")
+        .drop("__no")
     )
     joined = cues.withColumnRenamed("speaker", "own").join(
         parts.withColumnRenamed("cue_idx", "idx"), [*by, "idx"], "left"
@@ -368,7 +376,7 @@ def split_at_speaker_change(
         "idx",
         F.coalesce("part", F.lit(1)).alias("part"),
         F.coalesce("label", "own").alias("speaker"),
-        F.when(many, joined_text(F.col("__words"), F.col("text")))
+        F.when(many, joined_text(F.col("__words.word"), F.col("text")))
         .otherwise(F.col("text"))
         .alias("text"),
         "start_ms",
