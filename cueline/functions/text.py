@@ -106,7 +106,8 @@ def is_garbled(
     """True when any garble rule matches."""
     wide = count_class(text, wide_class)
     size = no_space_length(text)
-    ratio = wide / size
+    # Spark makes what two rules share ahead of the test for blank lines
+    ratio = F.try_divide(wide, size)
     return (
         (size == 0)
         | ((ratio < k.WIDE_RATIO_MIN) & (size > k.MIN_CHARS_FOR_RATIO))
@@ -126,7 +127,7 @@ def is_garbled_english(text: Column, latin_class: str = k.LATIN_CLASS) -> Column
     return (
         (size == 0)
         | F.contains(text, F.lit(k.REPLACEMENT_CHAR))
-        | ((count_class(text, latin_class) / size < k.WIDE_RATIO_MIN) & (size > k.MIN_CHARS_FOR_RATIO))
+        | ((F.try_divide(count_class(text, latin_class), size) < k.WIDE_RATIO_MIN) & (size > k.MIN_CHARS_FOR_RATIO))
     )
 
 
