@@ -22,7 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PLACE = T.StructType([T.StructField(c, T.LongType()) for c in ("at", "place", "repeat")])
+#: Rows of a key that are held as one value: a call to the state costs more than the few rows most keys have.
+CHUNK_ROWS = 1024
+_CHUNK = T.StructType([T.StructField("chunk", T.LongType())])
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -50,7 +52,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.given = handle, Row(*self.names)
-        self.waiting = handle.getMapState("waiting", _PLACE, self.row)
+        self.waiting = handle.getMapState("waiting", _CHUNK, T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
         self.state = handle.getValueState("kept", self.kept)
 
     def take(self, key: tuple, state: tuple | None, row: tuple) -> tuple[list[tuple], tuple | None]:
@@ -66,41 +68,53 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            held = tuple(row[c] for c in self.row.names)
-            repeat = 0
-            while self.waiting.containsKey((held[0], held[1], repeat)):
-                repeat += 1
-            self.waiting.updateValue((held[0], held[1], repeat), held)
-        yield from self._advance(key, timerValues)
+        yield from self._advance(key, [tuple(row[c] for c in self.row.names) for row in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key, timerValues)
+        yield from self._advance(key, [], timerValues)
 
-    def _advance(self, key, timers) -> Iterator[Row]:
+    def _advance(self, key, fresh, timers) -> Iterator[Row]:
         watermark = timers.getCurrentWatermarkInMs()
-        places = sorted(tuple(p) for p in self.waiting.keys())
-        state = _plain(self.state.get()) if self.state.exists() else None
+        chunks = {number: _plain(rows) for (number,), (rows,) in self.waiting.iterator()}
+        # in the order of coming, which the sort keeps for rows of one place
+        held = [row for number in sorted(chunks) for row in chunks[number]]
+        found = _plain(self.state.get())
+        timer, state = self._next(held, found), found
+        rows = sorted(held + fresh, key=lambda row: row[:2])
         passed = 0
-        for place in places:
-            if place[0] > watermark:
+        for row in rows:
+            if row[0] > watermark:
                 break
-            given, state = self.take(key, state, tuple(self.waiting.getValue(place)))
-            self.waiting.removeKey(place)
+            given, state = self.take(key, state, row)
             passed += 1
             yield from (self.given(*key, *g) for g in given)
         if state is not None and self.due(state) <= watermark:
             given, state = self.expire(key, state, watermark)
             yield from (self.given(*key, *g) for g in given)
-        if state is None:
-            self.state.clear()
-        else:
+        if passed and chunks:
+            self.waiting.clear()
+            chunks = {}
+        rest = rows[passed:]
+        self._hold(rest if passed else fresh, max(chunks, default=-1) + 1)
+        if state is not None:
             self.state.update(state)
-        nexts = [p[0] for p in places[passed : passed + 1]] + ([] if state is None else [self.due(state)])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if nexts:
-            self.handle.registerTimer(min(nexts))
+        elif found is not None:
+            self.state.clear()
+        due = self._next(rest, state)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def _hold(self, rows: list[tuple], number: int) -> None:
+        for at in range(0, len(rows), CHUNK_ROWS):
+            self.waiting.updateValue((number,), (rows[at : at + CHUNK_ROWS],))
+            number += 1
+
+    def _next(self, rows: list[tuple], state: tuple | None) -> int | None:
+        """The moment of the key's one timer, by what is held."""
+        return min([row[0] for row in rows] + ([] if state is None else [self.due(state)]), default=None)
 
     def close(self) -> None:
         pass
