@@ -23,6 +23,12 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has, without a value for each."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.length(F.regexp_replace(bare, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x"))
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text, for Python tasks; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.common import dealt_rank, null_safe_join, stored, words
+from cueline.llm.common import dealt_rank, null_safe_join, stored, word_count
 
 #: Weights of the sources in order, repeating, and the most a source may be repeated.
 WEIGHTS = (5, 2, 1)
@@ -137,11 +137,14 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 def planned(docs: DataFrame, carry: list[str], seed: int = 3) -> DataFrame:
     """(row, size, source_size, target, times): the columns to carry, and how often the mix takes the document."""
-    size = F.size(words(F.col("text"))).cast("bigint")
-    sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    size = word_count(F.col("text")).cast("bigint")
+    # written, since it is read three times and the words of all texts need counting only once
+    sized = stored(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+        )
     )
-    facts = stored(docs.select("source", size.alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    facts = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = facts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sources)
 
