@@ -50,8 +50,12 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a UTF-8 text; a bit is set if it is set in over half the shingle hashes."""
-    hashes = shingle_hashes(text, shingle)
+    """The 64-bit SimHash of a UTF-8 text."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a text's shingle hashes; a bit is set if it is set in over half of them."""
     if not len(hashes):
         return 0
     tally = np.zeros(64, dtype=np.int64)
